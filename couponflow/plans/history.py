@@ -1,9 +1,9 @@
 """Features from the history window, one table per key grain and fold.
 
-Counts, sums and extremes are taken once at two fine grains, (user, merchant) and
-(merchant, coupon) or (user, coupon), and rolled up from there. The rolled-up tables need no
-distinct aggregates: each fine row already stands for one distinct partner. Every step is a
-hash aggregate with partial results before the shuffle, so a hot key costs one row per task.
+Each grain is one hash aggregate with partial results before the shuffle, so a hot key sends
+one row per task. Wide statistics are taken directly at the coarse grains (user, merchant,
+coupon), where the partial results are small. Distinct partners come from narrow counts per
+pair: every pair row stands for one partner, so no distinct aggregate is needed.
 """
 
 from __future__ import annotations
@@ -59,7 +59,6 @@ def stats(history: DataFrame, keys: list[str]) -> DataFrame:
     used, plain = is_used(), is_plain()
     near = used & (F.col("distance") != UNKNOWN_DISTANCE)
     return history.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
         F.count_if(_held()).alias("held"),
         F.count_if(used).alias("used"),
         F.count_if(is_unused()).alias("unused"),
@@ -85,150 +84,134 @@ def stats(history: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def roll_up(fine: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    """Coarser :func:`stats` from finer ones, with more aggregates over the fine rows."""
-    merged = []
-    for name in fine.columns:
-        if name.endswith(("_first", "_min")):
-            merged.append(F.min(name).alias(name))
-        elif name.endswith(("_last", "_max")):
-            merged.append(F.max(name).alias(name))
-        elif name not in _KEYS:
-            merged.append(F.sum(name).alias(name))
-    return fine.groupBy(*keys).agg(*merged, *extra)
-
-
-_KEYS = {*USER_MERCHANT_DAY, "coupon_id", "discount_rate_text"}
-
-
-def user_merchant_stats(history: DataFrame) -> DataFrame:
-    return stats(history, USER_MERCHANT)
-
-
-def merchant_coupon_stats(history: DataFrame) -> DataFrame:
-    return stats(history, MERCHANT_COUPON)
+def user_merchant_counts(history: DataFrame) -> DataFrame:
+    """Narrow counts per (user, merchant); read by three feature tables, so worth staging."""
+    return history.groupBy(*USER_MERCHANT).agg(
+        F.count_if(_held()).alias("held"),
+        F.count_if(is_used()).alias("used"),
+        F.count_if(is_unused()).alias("unused"),
+        F.count_if(is_plain()).alias("plain"),
+        F.count_if(F.col("date").isNotNull()).alias("bought"),
+        F.count_if(is_received()).alias("received"),
+    )
 
 
 def user_coupon_counts(history: DataFrame) -> DataFrame:
     return history.groupBy(*USER_COUPON).agg(
-        F.count_if(is_received()).alias("received"),
-        F.count_if(is_used()).alias("used"),
-        F.count_if(_held()).alias("held"),
+        F.count_if(is_received()).alias("received"), F.count_if(is_used()).alias("used")
+    )
+
+
+def merchant_coupon_counts(history: DataFrame) -> DataFrame:
+    return history.groupBy(*MERCHANT_COUPON).agg(
+        F.count_if(is_received()).alias("received"), F.count_if(is_used()).alias("used")
     )
 
 
-def user_features(user_merchant: DataFrame, user_coupon: DataFrame) -> DataFrame:
+def user_features(
+    history: DataFrame, user_merchant: DataFrame, user_coupon: DataFrame
+) -> DataFrame:
     """Per user: u1-u11, u19-u25, u27, u28, u32, u35-u37, u45, u48, u49 and um9-um12."""
-    coupons = user_coupon.groupBy(*USER).agg(F.count_if(F.col("used") > 0).alias("used_coupons"))
-    per_user = roll_up(
-        user_merchant,
-        USER,
-        F.count(F.lit(1)).alias("merchants"),
-        F.count_if(F.col("used") > 0).alias("used_merchants"),
-    ).join(coupons, USER, "left")
-    counts = per_user.withColumns(
-        {
-            "u2": some("used"),
-            "u3": some("unused"),
-            "u5": some("plain"),
-            "u6": mean_gap("plain_first", "plain_last", "plain"),
-            "u7": mean_gap("used_first", "used_last", "used"),
-            "u10": ratio("delay_sum", "used"),
-            "u21": some("used_in_time"),
-            "u32": some("used_coupons"),
-            "um9": F.col("merchants"),
-            "um10": some("used_merchants"),
-            "u1": F.col("used") + F.col("unused"),
-        }
+    coupons = user_coupon.groupBy(*USER).agg(some(F.count_if(F.col("used") > 0)).alias("u32"))
+    merchants = user_merchant.groupBy(*USER).agg(
+        F.count(F.lit(1)).alias("um9"), some(F.count_if(F.col("used") > 0)).alias("um10")
     )
-    return counts.select(
-        *USER,
-        "u2",
-        "u3",
-        ratio("u2", "u3").alias("u19"),
-        "u1",
-        ratio("u2", "u1").alias("u4"),
-        "u5",
-        (F.col("u2") + F.col("u5")).alias("u25"),
-        ratio("u2", F.col("u2") + F.col("u5")).alias("u20"),
-        "u6",
-        "u7",
-        (F.col("u6") / REDEEM_DAYS).alias("u8"),
-        (F.col("u7") / REDEEM_DAYS).alias("u9"),
-        "u10",
-        (F.col("u10") / REDEEM_DAYS).alias("u11"),
-        "u21",
-        ratio("u21", "u2").alias("u22"),
-        ratio("u21", "u3").alias("u23"),
-        ratio("u21", "u1").alias("u24"),
-        ratio("rate_sum", "rate_n").alias("u45"),
-        F.col("rate_min").alias("u27"),
-        F.col("rate_max").alias("u28"),
-        "u32",
-        ratio("near_sum", "near_n").alias("u35"),
-        F.col("near_min").alias("u36"),
-        F.col("near_max").alias("u37"),
-        some("threshold_rows").alias("u48"),
-        some("decimal_rows").alias("u49"),
-        "um9",
-        "um10",
-        ratio("um10", "um9").alias("um11"),
-        ratio("u2", "um9").alias("um12"),
+    per_user = (
+        stats(history, USER)
+        .withColumns(
+            {
+                "u1": F.col("used") + F.col("unused"),
+                "u2": some("used"),
+                "u3": some("unused"),
+                "u5": some("plain"),
+                "u6": mean_gap("plain_first", "plain_last", "plain"),
+                "u7": mean_gap("used_first", "used_last", "used"),
+                "u10": ratio("delay_sum", "used"),
+                "u21": some("used_in_time"),
+                "u25": some("used") + some("plain"),
+            }
+        )
+        .select(
+            *USER,
+            "u1",
+            "u2",
+            "u3",
+            ratio("u2", "u1").alias("u4"),
+            "u5",
+            "u6",
+            "u7",
+            (F.col("u6") / REDEEM_DAYS).alias("u8"),
+            (F.col("u7") / REDEEM_DAYS).alias("u9"),
+            "u10",
+            (F.col("u10") / REDEEM_DAYS).alias("u11"),
+            ratio("u2", "u3").alias("u19"),
+            ratio("u2", "u25").alias("u20"),
+            "u21",
+            ratio("u21", "u2").alias("u22"),
+            ratio("u21", "u3").alias("u23"),
+            ratio("u21", "u1").alias("u24"),
+            "u25",
+            F.col("rate_min").alias("u27"),
+            F.col("rate_max").alias("u28"),
+            ratio("near_sum", "near_n").alias("u35"),
+            F.col("near_min").alias("u36"),
+            F.col("near_max").alias("u37"),
+            ratio("rate_sum", "rate_n").alias("u45"),
+            some("threshold_rows").alias("u48"),
+            some("decimal_rows").alias("u49"),
+        )
+    )
+    return (
+        per_user.join(merchants, USER, "left")
+        .join(coupons, USER, "left")
+        .withColumns({"um11": ratio("um10", "um9"), "um12": ratio("u2", "um9")})
     )
 
 
-def merchant_features(user_merchant: DataFrame, merchant_coupon: DataFrame) -> DataFrame:
+def merchant_features(
+    history: DataFrame, user_merchant: DataFrame, merchant_coupon: DataFrame
+) -> DataFrame:
     """Per merchant: m0-m4, m7-m15 and m18-m23. m9 is the highest and m10 the lowest rate."""
     coupons = merchant_coupon.groupBy(*MERCHANT).agg(
-        F.count_if(F.col("used") > 0).alias("used_coupons"),
-        F.count_if(F.col("received") > 0).alias("received_coupons"),
+        some(F.count_if(F.col("used") > 0)).alias("m15"),
+        some(F.count_if(F.col("received") > 0)).alias("m18"),
     )
-    per_merchant = roll_up(
-        user_merchant,
-        MERCHANT,
-        F.count_if(F.col("used") > 0).alias("used_users"),
-        F.count_if(F.col("received") > 0).alias("received_users"),
-    ).join(coupons, MERCHANT, "left")
-    counts = per_merchant.withColumns(
-        {
-            "m0": some("bought"),
-            "m1": some("used"),
-            "m3": some("received"),
-            "m11": some("used_users"),
-            "m12": some("received_users"),
-            "m15": some("used_coupons"),
-            "m18": some("received_coupons"),
-        }
+    users = user_merchant.groupBy(*MERCHANT).agg(
+        some(F.count_if(F.col("used") > 0)).alias("m11"),
+        some(F.count_if(F.col("received") > 0)).alias("m12"),
     )
-    return counts.select(
+    per_merchant = stats(history, MERCHANT).select(
         *MERCHANT,
-        "m0",
-        "m1",
+        some("bought").alias("m0"),
+        some("used").alias("m1"),
         (F.col("bought") - F.col("used")).alias("m2"),
-        "m3",
-        ratio("m1", "m3").alias("m4"),
+        some("received").alias("m3"),
+        ratio(some("used"), "received").alias("m4"),
         some("unused").alias("m7"),
         ratio("rate_sum", "rate_n").alias("m8"),
         F.col("rate_max").alias("m9"),
         F.col("rate_min").alias("m10"),
-        "m11",
-        "m12",
-        ratio("m11", "m12").alias("m13"),
-        ratio("m1", "m12").alias("m14"),
-        "m15",
-        "m18",
-        ratio("m15", "m18").alias("m19"),
         mean_gap("used_first", "used_last", "used").alias("m20"),
         ratio("near_sum", "near_n").alias("m21"),
         F.col("near_min").alias("m22"),
         F.col("near_max").alias("m23"),
     )
+    return (
+        per_merchant.join(users, MERCHANT, "left")
+        .join(coupons, MERCHANT, "left")
+        .withColumns(
+            {
+                "m13": ratio("m11", "m12"),
+                "m14": ratio("m1", "m12"),
+                "m19": ratio("m15", "m18"),
+            }
+        )
+    )
 
 
-def coupon_features(merchant_coupon: DataFrame) -> DataFrame:
+def coupon_features(history: DataFrame) -> DataFrame:
     """Per coupon: c1-c4 and c12. c4 is missing for a coupon that was never used."""
-    per_coupon = roll_up(merchant_coupon.where(_held()), COUPON)
-    return per_coupon.select(
+    return stats(history.where(_held()), COUPON).select(
         *COUPON,
         some("held").alias("c1"),
         some("used").alias("c2"),
@@ -344,11 +327,11 @@ def merchant_per_coupon(merchants: DataFrame) -> DataFrame:
 
 def user_merchant_share(user_merchant: DataFrame) -> DataFrame:
     """Share of the user's and of the merchant's (un)redeemed coupons that the pair holds."""
-    users = roll_up(user_merchant.select(*USER_MERCHANT, "used", "unused"), USER).select(
-        *USER, F.col("used").alias("user_used"), F.col("unused").alias("user_unused")
+    users = user_merchant.groupBy(*USER).agg(
+        F.sum("used").alias("user_used"), F.sum("unused").alias("user_unused")
     )
-    merchants = roll_up(user_merchant.select(*USER_MERCHANT, "used", "unused"), MERCHANT).select(
-        *MERCHANT, F.col("used").alias("merchant_used"), F.col("unused").alias("merchant_unused")
+    merchants = user_merchant.groupBy(*MERCHANT).agg(
+        F.sum("used").alias("merchant_used"), F.sum("unused").alias("merchant_unused")
     )
     return (
         user_merchant.join(users, USER)

@@ -82,7 +82,7 @@ def assemble(
     """
     hot = HotKeys(rows, rows_per_task)
     spread_by = [c for c in rows.columns if c not in ("label", "discount_rate")]
-    pair_stats = stage(past.user_merchant_stats(history), "user-merchant")
+    pair_counts = stage(past.user_merchant_counts(history), "user-merchant")
     user_coupon = past.user_coupon_counts(history)
     batch_pairs = in_batch.user_merchant(batch)
     batch_user_coupon = in_batch.user_coupon(batch)
@@ -92,25 +92,28 @@ def assemble(
 
     users = (
         in_batch.user(batch_pairs, batch_user_coupon)
-        .join(past.user_features(pair_stats, user_coupon), past.USER, "left")
+        .join(past.user_features(history, pair_counts, user_coupon), past.USER, "left")
         .join(web.user_features(online_history), past.USER, "left")
     )
     user_coupons = batch_user_coupon.join(
         past.user_coupon_features(user_coupon), past.USER_COUPON, "left"
     )
     pairs = batch_pairs.drop("first", "last").join(
-        past.user_merchant_features(pair_stats), past.USER_MERCHANT, "left"
+        past.user_merchant_features(pair_counts), past.USER_MERCHANT, "left"
     )
 
     out = row_features(rows)
-    out = add(out, past.user_merchant_day_features(history), past.USER_MERCHANT_DAY)
+    # History of other days cannot match; there are only as many batch days as calendar days.
+    days = F.broadcast(rows.select("fold", "date_received").distinct())
+    same_days = history.join(days, ["fold", "date_received"], "left_semi")
+    out = add(out, past.user_merchant_day_features(same_days), past.USER_MERCHANT_DAY)
     out = add(out, user_coupons, past.USER_COUPON)
     out = add(out, in_batch.user_coupon_day(batch), in_batch.USER_COUPON_DAY)
     out = add(out, past.user_discount_features(history), past.USER_DISCOUNT)
     out = add(out, in_batch.user_day(batch), in_batch.USER_DAY)
     out = add(out, pairs, past.USER_MERCHANT)
     out = out.withColumn(ITEM_TEXT, F.coalesce("discount_rate_text", F.lit("")))
-    items = item_features(rows, batch, batch_pairs, history, pair_stats, rows_per_task)
+    items = item_features(rows, batch, batch_pairs, history, pair_counts, rows_per_task)
     hot_items = None
     if hot.of(past.COUPON) is not None:
         texted = rows.withColumn(ITEM_TEXT, F.coalesce("discount_rate_text", F.lit("")))
@@ -132,7 +135,7 @@ def item_features(
     batch: DataFrame,
     batch_pairs: DataFrame,
     history: DataFrame,
-    pair_stats: DataFrame,
+    pair_counts: DataFrame,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Merchant, coupon and discount features per distinct item of the batch."""
@@ -147,16 +150,16 @@ def item_features(
     if rows.count() > rows_per_task:
         items = stage(items, "items")
     hot = HotKeys(items, rows_per_task) if rows.count() > rows_per_task else None
-    merchant_coupon = past.merchant_coupon_stats(history)
+    merchant_coupon = past.merchant_coupon_counts(history)
     batch_merchant_coupon = in_batch.merchant_coupon(batch)
     merchants = in_batch.merchant(batch_pairs, batch_merchant_coupon).join(
-        past.merchant_features(pair_stats, merchant_coupon), past.MERCHANT, "left"
+        past.merchant_features(history, pair_counts, merchant_coupon), past.MERCHANT, "left"
     )
     tables = [
         (merchants, past.MERCHANT),
         (in_batch.merchant_day(batch), in_batch.MERCHANT_DAY),
         (batch_merchant_coupon, past.MERCHANT_COUPON),
-        (past.coupon_features(merchant_coupon), past.COUPON),
+        (past.coupon_features(history), past.COUPON),
         (in_batch.coupon_day(batch), in_batch.COUPON_DAY),
         (past.discount_features(history), past.DISCOUNT),
     ]
