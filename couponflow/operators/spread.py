@@ -8,6 +8,8 @@ construction. Results are whole: hot keys are only spread over more tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +93,55 @@ class HotKeys:
         return None if found.isEmpty() else found
 
 
-def number_copies(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+@dataclass(frozen=True)
+class UserLayout:
+    """How the rows of a table are spread by user.
+
+    Most users are small, so their rows can share buckets by user: all per-user work is then
+    local. Users above the limit are hot; their rows are kept apart and shuffled by finer keys.
+    A table that fits one task needs no buckets at all.
+    """
+
+    buckets: int | None
+    limit: int
+    hot_users: DataFrame | None
+
+    @staticmethod
+    def of(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> UserLayout:
+        total = rows.count()
+        shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        limit = hot_limit(total, rows_per_task)
+        if total <= limit:
+            return UserLayout(None, limit, None)
+        found = hot_keys(rows, ["user_id"], limit).select("user_id")
+        found = None if found.isEmpty() else found
+        return UserLayout(max(shuffles, ceil(total / rows_per_task)), limit, found)
+
+    def usual(self, rows: DataFrame) -> DataFrame:
+        """Rows of users that are not hot."""
+        if self.hot_users is None:
+            return rows
+        return rows.join(F.broadcast(self.hot_users), "user_id", "left_anti")
+
+    def hot(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.hot_users), "user_id", "left_semi")
+
+
+def number_copies(rows: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Add ``copy_no`` (1, 2, ..) to equal rows, giving every row an identity.
 
     Equal rows are counted (with partial counts before the shuffle) and laid out again from
     the count, so no window sorts a big group of copies. The copies of a very frequent row are
-    laid out in chunks that are spread over tasks.
+    laid out in chunks that are spread over tasks; ``None`` says that there are no such rows,
+    and keeps the rows where they are.
     """
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy_no")
+    if rows_per_task is None:
+        return counted.select(*columns, copies)
+    few = counted.where(F.col("_n") <= rows_per_task).select(*columns, copies)
     chunk = F.lit(rows_per_task).cast("bigint")
-    few = counted.where(F.col("_n") <= rows_per_task).select(
-        *columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy_no")
-    )
     last = F.least(F.col("_start") + chunk - 1, F.col("_n"))
     many = (
         counted.where(F.col("_n") > rows_per_task)
@@ -120,7 +158,9 @@ def row_id(columns: Sequence[str], copy_no: str = "copy_no"):
     return F.md5(F.concat_ws("|", *parts, F.col(copy_no).cast("string")))
 
 
-def with_row_ids(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def with_row_ids(
+    rows: DataFrame, columns: Sequence[str], rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
     """Rows of ``columns`` with a distinct, reproducible ``row_id``."""
-    numbered = number_copies(rows.select(*columns))
+    numbered = number_copies(rows.select(*columns), rows_per_task)
     return numbered.withColumn("row_id", row_id(columns)).drop("copy_no")

@@ -54,6 +54,11 @@ def _delay() -> Column:
     return F.datediff("date", "date_received")
 
 
+def exact_rate() -> Column:
+    """The rate as a decimal: its sums do not depend on the order of rows and tasks."""
+    return F.col("discount_rate").cast("decimal(14,10)")
+
+
 def stats(history: DataFrame, keys: list[str]) -> DataFrame:
     """All additive statistics of the history rows per key."""
     used, plain = is_used(), is_plain()
@@ -72,7 +77,7 @@ def stats(history: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(used, _delay())).alias("delay_sum"),
         F.count_if(used & (_delay() <= REDEEM_DAYS)).alias("used_in_time"),
         F.count(F.when(used, F.col("discount_rate"))).alias("rate_n"),
-        F.sum(F.when(used, F.col("discount_rate"))).alias("rate_sum"),
+        F.sum(F.when(used, exact_rate())).alias("rate_sum"),
         F.min(F.when(used, F.col("discount_rate"))).alias("rate_min"),
         F.max(F.when(used, F.col("discount_rate"))).alias("rate_max"),
         F.count(F.when(near, F.col("distance"))).alias("near_n"),
@@ -357,5 +362,5 @@ def user_coupon_history(user_coupon: DataFrame) -> DataFrame:
 
 
 def fill_after_join(rows: DataFrame) -> DataFrame:
-    """u1 and m2 are 0, not missing, for keys without history."""
-    return rows.withColumns({"u1": zero_if_missing("u1"), "m2": zero_if_missing("m2")})
+    """u1 is 0, not missing, for users without history."""
+    return rows.withColumn("u1", zero_if_missing("u1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponflow.functions.basic import ratio, some
-from couponflow.plans.history import DISCOUNT, USER
+from couponflow.plans.history import DISCOUNT, USER, exact_rate
 
 CLICK, PURCHASE = 0, 1
 
@@ -54,7 +54,7 @@ def rate_features(history: DataFrame) -> DataFrame:
         history.where(used)
         .groupBy(*USER)
         .agg(
-            F.avg("discount_rate").alias("ou14"),
+            ratio(F.sum(exact_rate()), F.count("discount_rate")).alias("ou14"),
             F.min("discount_rate").alias("ou15"),
             F.max("discount_rate").alias("ou16"),
         )

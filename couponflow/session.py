@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,40 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/couponflow/{app}/{name}-{uuid.uuid4().hex}"
 
 
+# Joins of tables that share their buckets: join on the buckets as they are, even where the
+# join keys are wider than the bucket key, and move neither side.
+CO_LOCATED = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs run inside the block."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def stage_by_key(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As :func:`stage`, bucketed by ``key``.
+
+    Groups and joins whose keys include ``key`` then run on the buckets as they are, with no
+    further shuffle. The caller sees to it that no key is too big for one task.
+    """
+    spark = df.sparkSession
+    table = f"couponflow_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet")
+    writer.bucketBy(buckets, key).option("path", table_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 

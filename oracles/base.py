@@ -19,6 +19,14 @@ def some_if(condition: str) -> str:
     return some(count_if(condition))
 
 
+def mean_rate(condition: str = "true") -> str:
+    """Mean rate from a decimal sum, which no engine rounds differently."""
+    where = f"FILTER (WHERE {condition})"
+    return ratio(
+        f"sum(discount_rate::DECIMAL(14, 10)) {where}", f"count(discount_rate) {where}"
+    )
+
+
 def columns(spec: str, prefix: str = "") -> str:
     """``a b:d c:i`` -> select list; ``d`` rounds a double, ``i`` and ``l`` cast to int types."""
     out = []

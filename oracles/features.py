@@ -13,6 +13,7 @@ from oracles.base import (
     columns,
     count_if,
     history,
+    mean_rate,
     names,
     query,
     ratio,
@@ -44,7 +45,7 @@ user_f AS (
                {gap('"date"', N_USED, 'used')} AS u7,
                avg({DELAY}) FILTER (WHERE used) AS u10,
                {some_if(f'used AND {DELAY} <= 15')} AS u21,
-               avg(discount_rate) FILTER (WHERE used) AS u45,
+               {mean_rate('used')} AS u45,
                min(discount_rate) FILTER (WHERE used) AS u27,
                max(discount_rate) FILTER (WHERE used) AS u28,
                {some('count(DISTINCT coupon_id) FILTER (WHERE used)')} AS u32,
@@ -80,7 +81,7 @@ merchant_f AS (
          {ratio('m11', 'm12')} AS m13, {ratio('m1', 'm12')} AS m14, {ratio('m15', 'm18')} AS m19
   FROM (SELECT fold, merchant_id, {some_if('"date" IS NOT NULL')} AS m0, {some(N_USED)} AS m1,
                {some_if(RECEIVED)} AS m3, {some(N_UNUSED)} AS m7,
-               avg(discount_rate) FILTER (WHERE used) AS m8,
+               {mean_rate('used')} AS m8,
                max(discount_rate) FILTER (WHERE used) AS m9,
                min(discount_rate) FILTER (WHERE used) AS m10,
                {some('count(DISTINCT user_id) FILTER (WHERE used)')} AS m11,
@@ -354,7 +355,7 @@ SQL = {
     ),
     "feat_online_rate": query(
         [ONLINE, WEB, WEB_HISTORY],
-        """SELECT fold, user_id, round(avg(discount_rate), 6) AS ou14,
+        f"""SELECT fold, user_id, round({mean_rate()}, 6) AS ou14,
                   round(min(discount_rate), 6) AS ou15, round(max(discount_rate), 6) AS ou16
            FROM web_history WHERE used GROUP BY fold, user_id""",
     ),
