@@ -21,7 +21,7 @@ from couponflow.plans import batch as in_batch
 from couponflow.plans import history as past
 from couponflow.plans import matrix, reports
 from couponflow.plans import online as web
-from couponflow.session import shared_dir, table_path
+from couponflow.session import shared_dir, stage, table_path
 from couponflow.sources import scans, sinks, standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,15 @@ class Inputs:
     def identified(self) -> DataFrame:
         return matrix.labelled_rows(self.offline, standin.FOLDS)
 
+    def attach(self, features: DataFrame, keys: list[str], rows: DataFrame | None = None) -> DataFrame:
+        """Left join on the identified batch rows, hot keys spread."""
+        rows = self.identified.select(*ROW_KEYS, "row_id") if rows is None else rows
+        return spread.attach(rows, features, keys, self.hot_rows.of(keys))
+
+    @cached_property
+    def hot_rows(self) -> spread.HotKeys:
+        return spread.HotKeys(self.batch)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return past.user_merchant_counts(self.history)
@@ -294,7 +303,8 @@ def weekday_onehot(i: Inputs) -> DataFrame:
 @query
 def matrix_fillna(i: Inputs) -> DataFrame:
     counts = i.users.select("fold", "user_id", "u1", "u2", "u3", "u4", "u19")
-    return matrix.fill_missing(i.batch.select(*ROW_KEYS, "label").join(counts, past.USER, "left"))
+    rows = i.identified.select(*ROW_KEYS, "row_id", "label")
+    return matrix.fill_missing(i.attach(counts, past.USER, rows)).drop("row_id")
 
 
 @query
@@ -390,20 +400,20 @@ def online_known_users(i: Inputs) -> DataFrame:
 @query
 def join_left_1key(i: Inputs) -> DataFrame:
     merchants = i.merchants.select("fold", "merchant_id", "m1", "m4")
-    return spread.attach(i.batch.select(*ROW_KEYS), merchants, past.MERCHANT)
+    return i.attach(merchants, past.MERCHANT).drop("row_id")
 
 
 @query
 def join_left_2key(i: Inputs) -> DataFrame:
     pairs = past.user_merchant_features(i.pairs)
-    return spread.attach(i.batch.select(*ROW_KEYS), pairs, past.USER_MERCHANT)
+    return i.attach(pairs, past.USER_MERCHANT).drop("row_id")
 
 
 @query
 def join_left_3key(i: Inputs) -> DataFrame:
     """Receipts of the batch itself per user, coupon and day."""
     days = in_batch.user_coupon_day(i.batch).select(*in_batch.USER_COUPON_DAY, "o11")
-    return spread.attach(i.batch.select(*ROW_KEYS), days, in_batch.USER_COUPON_DAY)
+    return i.attach(days, in_batch.USER_COUPON_DAY).drop("row_id")
 
 
 @query
@@ -447,9 +457,10 @@ _merchant_query("feat_merchant_distance", ["m21", "m22", "m23"])
 
 @query
 def feat_user_coupon(i: Inputs) -> DataFrame:
-    received = past.user_coupon_features(i.user_coupon)
+    received = stage(past.user_coupon_features(i.user_coupon), "received")
     users = i.users.select(*past.USER, "u2", "u32")
-    return received.join(users, past.USER, "left").select(
+    hot = spread.HotKeys(received).of(past.USER)
+    return spread.attach(received, users, past.USER, hot, past.USER_COUPON).select(
         *past.USER_COUPON, "u47", ratio("u32", "u47").alias("u33"), ratio("u2", "u47").alias("u34")
     )
 
@@ -476,8 +487,9 @@ def feat_discount(i: Inputs) -> DataFrame:
 
 @query
 def feat_user_merchant(i: Inputs) -> DataFrame:
-    shares = past.user_merchant_share(i.pairs).select(*past.USER_MERCHANT, "um5")
-    return past.user_merchant_features(i.pairs).join(shares, past.USER_MERCHANT, "left")
+    pairs = stage(i.pairs, "pairs")
+    shares = past.user_merchant_share(pairs).select(*past.USER_MERCHANT, "um5")
+    return past.user_merchant_features(pairs).join(shares, past.USER_MERCHANT, "left")
 
 
 @query
@@ -507,7 +519,7 @@ def feat_merchant_per_coupon(i: Inputs) -> DataFrame:
 
 @query
 def feat_user_merchant_share(i: Inputs) -> DataFrame:
-    return past.user_merchant_share(i.pairs)
+    return past.user_merchant_share(stage(i.pairs, "pairs"))
 
 
 @query
@@ -549,26 +561,26 @@ def feat_online_discount(i: Inputs) -> DataFrame:
 @query
 def feat_batch_user(i: Inputs) -> DataFrame:
     pairs, coupons = in_batch.user_merchant(i.batch), in_batch.user_coupon(i.batch)
-    out = i.batch.select(*ROW_KEYS)
-    out = spread.attach(out, coupons, past.USER_COUPON)
-    out = spread.attach(out, in_batch.user_coupon_day(i.batch).drop("o5", "o6"), in_batch.USER_COUPON_DAY)
-    out = spread.attach(out, in_batch.user_day(i.batch).select(*in_batch.USER_DAY, "o10"), in_batch.USER_DAY)
-    out = spread.attach(out, pairs.drop("first", "last"), past.USER_MERCHANT)
-    return spread.attach(out, in_batch.user(pairs, coupons), past.USER)
+    coupon_days = in_batch.user_coupon_day(i.batch).drop("o5", "o6")
+    days = in_batch.user_day(i.batch).select(*in_batch.USER_DAY, "o10")
+    out = i.attach(coupons, past.USER_COUPON)
+    out = i.attach(coupon_days, in_batch.USER_COUPON_DAY, out)
+    out = i.attach(days, in_batch.USER_DAY, out)
+    out = i.attach(pairs.drop("first", "last"), past.USER_MERCHANT, out)
+    return i.attach(in_batch.user(pairs, coupons), past.USER, out).drop("row_id")
 
 
 @query
 def feat_batch_prev_next(i: Inputs) -> DataFrame:
-    out = i.batch.select(*ROW_KEYS)
-    out = spread.attach(out, in_batch.user_coupon_day(i.batch).drop("o11"), in_batch.USER_COUPON_DAY)
-    return spread.attach(out, in_batch.user_day(i.batch).drop("o10"), in_batch.USER_DAY)
+    out = i.attach(in_batch.user_coupon_day(i.batch).drop("o11"), in_batch.USER_COUPON_DAY)
+    return i.attach(in_batch.user_day(i.batch).drop("o10"), in_batch.USER_DAY, out).drop("row_id")
 
 
 @query
 def feat_batch_merchant(i: Inputs) -> DataFrame:
     pairs, coupons = in_batch.user_merchant(i.batch), in_batch.merchant_coupon(i.batch)
-    out = spread.attach(i.batch.select(*ROW_KEYS), coupons, past.MERCHANT_COUPON)
-    return spread.attach(out, in_batch.merchant(pairs, coupons), past.MERCHANT)
+    out = i.attach(coupons, past.MERCHANT_COUPON)
+    return i.attach(in_batch.merchant(pairs, coupons), past.MERCHANT, out).drop("row_id")
 
 
 @query
@@ -791,7 +803,7 @@ def train_logistic(i: Inputs) -> DataFrame:
     rows = matrix.fill_missing(rows)
     inputs = ["discount_rate", "discount_man", "discount_jian", "discount_type", "distance"]
     inputs += ["weekday", "weekday_type", *[f"weekday_{n}" for n in range(1, 8)]]
-    vectors = training.assemble(rows, inputs)
+    vectors = stage(training.assemble(rows, inputs), "baseline")
     model = make("logistic").fit(vectors.where("fold = 1"))
     return training.metrics(training.score(model, vectors.where("fold = 2")), "logistic")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from couponflow.models.estimators import LABEL, make
 from couponflow.operators.sampling import stratified_folds
+from couponflow.session import stage
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ def grid_search(
         foldCol="split",
         parallelism=parallelism,
     )
-    fitted = search.fit(stratified_folds(rows, folds).select("features", LABEL, "split"))
+    dealt = stratified_folds(rows, folds).select("features", LABEL, "split")
+    fitted = search.fit(stage(dealt, "search-folds"))
     trials = [
         Trial({p.name: v for p, v in point.items()}, mean, 2 * std)
         for point, mean, std in zip(points, fitted.avgMetrics, fitted.stdMetrics, strict=True)

@@ -7,6 +7,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from couponflow.operators.spread import HotKeys, matching
+
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -71,8 +73,10 @@ def bagging_split(rows: DataFrame, bag: int, test_share: float = 0.33) -> DataFr
 def undersample(rows: DataFrame, others: int, key: str = "user_id", seed: int = 0) -> DataFrame:
     """All rows of users that have a positive, and about ``others`` rows of the other users."""
     with_positive = rows.where(F.col("label") == 1).select(key).distinct()
-    rest = rows.join(with_positive, key, "left_anti")
-    return rows.join(with_positive, key, "left_semi").unionByName(sample_rows(rest, others, seed))
+    hot = HotKeys(rows).of([key])
+    kept = matching(rows, with_positive, [key], hot)
+    rest = matching(rows, with_positive, [key], hot, keep=False)
+    return kept.unionByName(sample_rows(rest, others, seed))
 
 
 def _hash(seed: int | str, row_id: str) -> Column:

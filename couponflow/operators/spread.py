@@ -127,6 +127,22 @@ class UserLayout:
         return rows.join(F.broadcast(self.hot_users), "user_id", "left_semi")
 
 
+def matching(
+    rows: DataFrame,
+    wanted: DataFrame,
+    keys: Sequence[str],
+    hot: DataFrame | None = None,
+    spread_by: Sequence[str] = ("row_id",),
+    keep: bool = True,
+) -> DataFrame:
+    """Rows whose key is (``keep=False``: is not) in ``wanted``, which has each key once."""
+    if hot is None:
+        return rows.join(wanted, list(keys), "left_semi" if keep else "left_anti")
+    marked = attach(rows, wanted.withColumn("_found", F.lit(True)), keys, hot, spread_by)
+    found = F.col("_found").isNotNull()
+    return marked.where(found if keep else ~found).drop("_found")
+
+
 def number_copies(rows: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Add ``copy_no`` (1, 2, ..) to equal rows, giving every row an identity.
 

@@ -15,6 +15,7 @@ from couponflow.functions import discount
 from couponflow.functions.basic import mean_gap, ratio, some, zero_if_missing
 from couponflow.functions.cleaning import NO_COUPON, UNKNOWN_DISTANCE
 from couponflow.functions.dates import REDEEM_DAYS
+from couponflow.operators.spread import HotKeys, attach
 
 USER = ["fold", "user_id"]
 MERCHANT = ["fold", "merchant_id"]
@@ -331,23 +332,25 @@ def merchant_per_coupon(merchants: DataFrame) -> DataFrame:
 
 
 def user_merchant_share(user_merchant: DataFrame) -> DataFrame:
-    """Share of the user's and of the merchant's (un)redeemed coupons that the pair holds."""
+    """Share of the user's and of the merchant's (un)redeemed coupons that the pair holds.
+
+    ``user_merchant`` should be a staged table: it is read several times.
+    """
     users = user_merchant.groupBy(*USER).agg(
         F.sum("used").alias("user_used"), F.sum("unused").alias("user_unused")
     )
     merchants = user_merchant.groupBy(*MERCHANT).agg(
         F.sum("used").alias("merchant_used"), F.sum("unused").alias("merchant_unused")
     )
-    return (
-        user_merchant.join(users, USER)
-        .join(merchants, MERCHANT)
-        .select(
-            *USER_MERCHANT,
-            ratio(some("unused"), "user_unused").alias("um5"),
-            ratio(some("used"), "user_used").alias("share_of_user_used"),
-            ratio(some("unused"), "merchant_unused").alias("share_of_merchant_unused"),
-            ratio(some("used"), "merchant_used").alias("share_of_merchant_used"),
-        )
+    hot = HotKeys(user_merchant)
+    out = attach(user_merchant, users, USER, hot.of(USER), USER_MERCHANT)
+    out = attach(out, merchants, MERCHANT, hot.of(MERCHANT), USER_MERCHANT)
+    return out.select(
+        *USER_MERCHANT,
+        ratio(some("unused"), "user_unused").alias("um5"),
+        ratio(some("used"), "user_used").alias("share_of_user_used"),
+        ratio(some("unused"), "merchant_unused").alias("share_of_merchant_unused"),
+        ratio(some("used"), "merchant_used").alias("share_of_merchant_used"),
     )
 
 

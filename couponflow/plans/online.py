@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponflow.functions.basic import ratio, some
+from couponflow.operators.spread import HotKeys, matching
 from couponflow.plans.history import DISCOUNT, USER, exact_rate
 
 CLICK, PURCHASE = 0, 1
@@ -78,4 +79,5 @@ def discount_features(history: DataFrame) -> DataFrame:
 def known_users(online_events: DataFrame, offline_events: DataFrame) -> DataFrame:
     """Web events of users that also appear in the stores."""
     users = offline_events.select("user_id").distinct()
-    return online_events.join(users, "user_id", "left_semi")
+    hot = HotKeys(online_events).of(["user_id"])
+    return matching(online_events, users, ["user_id"], hot, online_events.columns)
