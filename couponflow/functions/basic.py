@@ -31,8 +31,8 @@ def mean_gap(first: str, last: str, n: str) -> Column:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, for comparing results across engines."""
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.selectExpr(
+        *[f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
     )
 
 

@@ -125,7 +125,8 @@ def _within(day: Column, start: date | None, end: date | None) -> Column:
 
 
 def _expand(events: DataFrame, windows: list[tuple[int, Column]]) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(inside, F.lit(fold)) for fold, inside in windows]))
     # The same conditions as a filter, so that they can reach the scan.
     wanted = reduce(lambda a, b: a | b, [inside for _, inside in windows])
-    return events.where(wanted).select(F.explode(hits).alias("fold"), *events.columns)
+    hits = F.array(*[F.when(inside, F.lit(fold)) for fold, inside in windows])
+    expanded = events.where(wanted).select(F.explode(hits).alias("fold"), *events.columns)
+    return expanded.where(F.col("fold").isNotNull())

@@ -288,8 +288,7 @@ def drop_columns(table: DataFrame, predict: bool = False) -> DataFrame:
 
 def fill_missing(table: DataFrame) -> DataFrame:
     """Every missing number becomes 0."""
-    numeric = [c for c, t in table.dtypes if t in ("int", "bigint", "double")]
-    return table.withColumns({c: zero_if_missing(c) for c in numeric})
+    return table.fillna(0)
 
 
 def training_matrix(table: DataFrame, include_batch_features: bool = True) -> DataFrame:
