@@ -173,6 +173,7 @@ in_batch AS (
 # d - (d + 1) = -1 and (d - 1) - d = -1 stand for "none".
 BATCH_USER_SPEC = "o1 o2 o7:d o8 o9 o10 o11 o12"
 
+# The known discount texts; the position is the code.
 TYPES = [
     "0.2", "0.5", "0.6", "0.7", "0.75", "0.8", "0.85", "0.9", "0.95", "30:20", "50:30", "10:5",
     "20:10", "100:50", "200:100", "50:20", "30:10", "150:50", "100:30", "20:5", "200:50", "5:1",
