@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponflow.llm import decontamination, language, mixing, quality, simhash
-from couponflow.llm.tables import read
+from couponflow.llm import (
+    decontamination,
+    html_text,
+    language,
+    lm_scoring,
+    mixing,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    token_output,
+)
+from couponflow.llm.tables import read, small_side
+from couponflow.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +37,29 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table_path(spark, "token-files")
+    token_output.write(read(spark, sf_dir, "documents"), files)
+    return token_output.digests(spark, files)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good."""
+    docs = read(spark, sf_dir, "documents")
+    good = (
+        read(spark, sf_dir, "labels")
+        .where("quality = 1 and toxic = 0")
+        .select("doc_id", F.lit(True).alias("is_target"))
+        .distinct()
+    )
+    marked = docs.select("doc_id", "text").join(small_side(good), "doc_id", "left")
+    return lm_scoring.score(docs, lm_scoring.train(marked, F.col("is_target")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = F.size("words").cast("long")
@@ -38,6 +73,27 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+
+    def listed(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    counts = [
+        (F.size("spans") - F.size(F.array_remove("spans.kind", kind))).cast("long").alias(f"n_{kind}")
+        for kind in secret_scan.BASE_KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.duplicates(read(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -54,7 +110,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_quality_rules, op2_mix_sources, op6_decontaminate, op9_simhash, op10_language_id)
+    for q in (
+        op1_quality_rules,
+        op2_mix_sources,
+        op3_pii_surrogates,
+        op4_token_output,
+        op5_lm_scoring,
+        op6_decontaminate,
+        op7_html_text,
+        op8_secret_scan,
+        op9_simhash,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
