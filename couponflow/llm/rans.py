@@ -17,7 +17,7 @@ import numpy as np
 
 MAGIC = b"RNS1"
 HEADER = struct.Struct("<4sIIQIQI")  # magic, bits, lanes, ids, segments, words, crc32 of the ids
-LANES = 512
+LANES = 1024
 SEGMENT = 128
 #: Lanes have at least so many ids each, as far as there is more than one lane.
 LEAST_PER_LANE = 128
@@ -126,21 +126,25 @@ def _run(state, at, words, table: Frequencies, lanes: int, n: int) -> np.ndarray
     rows = len(state)
     out = np.zeros((rows, SEGMENT, lanes), dtype=np.uint32)
     in_last = n - (rows - 1) * SEGMENT * lanes
-    padded = np.concatenate([words, np.zeros(1, words.dtype)]).astype(np.uint64)
-    end = len(words)
     for step in range(min(SEGMENT, -(-in_last // lanes)) if rows == 1 else SEGMENT):
         # Only the last row can be shorter than a segment, and its last step narrower.
         live = rows if step * lanes < in_last else rows - 1
-        x = state[:live]
+        x = state[:live].ravel()
         slot = x & mask
-        ids = table.symbol[slot]
-        x = table.frequency[ids] * (x >> bits) + slot - table.start[ids]
+        ids = table.symbol.take(slot.view(np.int64))
+        x >>= bits
+        x *= table.frequency.take(ids)
+        x += slot
+        x -= table.start.take(ids)
+        out[:live, step] = ids.reshape(live, lanes)
         low = x < LOW
         if live == rows and (step + 1) * lanes > in_last:
-            low[-1, in_last - step * lanes :] = False
-        place = at[:live, None] + np.cumsum(low, axis=1) - 1
-        x = np.where(low, (x << WORD) | padded[np.clip(place, 0, end)], x)
-        at[:live] += low.sum(axis=1)
-        state[:live] = x
-        out[:live, step] = ids
+            low[(rows - 1) * lanes + in_last - step * lanes :] = False
+        # Lanes that ran low take the next words of their row, in order.
+        short = np.flatnonzero(low)
+        taken = np.count_nonzero(low.reshape(live, lanes), axis=1)
+        place = np.arange(len(short)) + np.repeat(at[:live] - (np.cumsum(taken) - taken), taken)
+        x[short] = (x[short] << WORD) | words[place]
+        at[:live] += taken
+        state[:live] = x.reshape(live, lanes)
     return out.reshape(-1)[:n]

@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,11 +43,11 @@ from couponflow.session import table_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 IDS_PER_SHARD = 1 << 24
 MAX_SHARDS = 100_000
 #: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 #: Letters that are one piece each way: A-Z, a-z and the Latin-1 letters; then marks, no apostrophe.
 _PLAIN = re.compile(
@@ -63,7 +64,11 @@ def _byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of words as bytes, found on first use."""
+    """Ids of words as bytes, found on first use.
+
+    When ``CACHE_WORDS`` are known, they become the older half of the cache and a new half begins; a word
+    that is met again moves over, so frequent words stay.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -73,23 +78,34 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.older: dict[bytes, bytes] = {}
 
-    def _pieces(self, word: bytes) -> list[int]:
+    def _pieces(self, word: bytes) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if not plain:
-            return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            return array(self.code, ids).tobytes()
         letters, marks = plain.groups()
-        found = []
-        for piece in (letters.decode().lower().encode(), marks):
-            if piece:
-                text = piece.decode() if piece.isascii() else "".join(map(_byte_letters().__getitem__, piece))
-                found += [t.id for t in self.model.tokenize(text)]
-        return found
+        if letters and marks:
+            return self[letters] + self[marks]
+        if not marks:
+            low = word.decode().lower()
+            if low.isascii():
+                text = low
+            else:
+                text = "".join(map(_byte_letters().__getitem__, low.encode()))
+        else:
+            text = word.decode()
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._pieces(word)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self._pieces(word), dtype=self.kind).tobytes()
         self[word] = ids
         return ids
 
