@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side of a join (an id or hash, a few numbers) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 _shipped: set[str] = set()
 
 
