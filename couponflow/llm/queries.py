@@ -124,4 +124,85 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of op6: everything but ASCII characters that are neither letters nor digits.
+_BENCHMARK_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS draw,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)]::DOUBLE AS weight
+    FROM sized GROUP BY source),
+-- Each round clamps what is over its cap and shares the rest out again, until nothing is.
+rounds AS (
+    SELECT 0 AS n, [NULL::VARCHAR][1:0] AS clamped, false AS done
+    UNION ALL
+    SELECT n + 1, now.over, len(now.over) = len(clamped)
+    FROM rounds, LATERAL (
+        SELECT coalesce(list(coalesce(s.source, '')) FILTER (
+            s.weight * (t.budget - t.held) / t.open >= 2.0 * s.source_size
+            OR list_contains(clamped, coalesce(s.source, ''))), []) AS over
+        FROM sources s, (
+            SELECT 1.5 * sum(source_size) AS budget,
+                   coalesce(sum(2.0 * source_size) FILTER (list_contains(clamped, coalesce(source, ''))), 0) AS held,
+                   sum(weight) FILTER (NOT list_contains(clamped, coalesce(source, ''))) AS open
+            FROM sources) t) now
+    WHERE NOT done AND n < 1000),
+final AS (SELECT clamped FROM rounds ORDER BY n DESC LIMIT 1),
+targets AS (
+    SELECT s.source, s.source_size, round(CASE WHEN list_contains(clamped, coalesce(s.source, ''))
+        THEN 2.0 * s.source_size ELSE s.weight * (t.budget - t.held) / t.open END, 6) AS target
+    FROM sources s, final, (
+        SELECT 1.5 * sum(source_size) AS budget,
+               coalesce(sum(2.0 * source_size) FILTER (list_contains(clamped, coalesce(source, ''))), 0) AS held,
+               sum(weight) FILTER (NOT list_contains(clamped, coalesce(source, ''))) AS open
+        FROM sources, final) t),
+plan AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+           target - whole * source_size AS missing FROM targets),
+-- The head of each source, in the order of the draw, up to where half of a document still fits.
+cut AS (
+    SELECT d.*, p.source_size, p.target, p.whole, p.missing,
+           p.missing > 0 AND sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size
+               ROWS UNBOUNDED PRECEDING) - d.size / 2.0 <= p.missing AS extra
+    FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+missed AS (
+    SELECT *, missing - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) AS miss FROM cut),
+-- The one document whose size is nearest to the miss is added or left out.
+swaps AS (
+    SELECT *, (extra = (miss < 0)) AND abs(abs(miss) - size) < abs(miss) AS usable,
+           row_number() OVER (PARTITION BY source, (extra = (miss < 0)) AND abs(abs(miss) - size) < abs(miss)
+               ORDER BY abs(abs(miss) - size), draw, doc_id, size) AS place
+    FROM missed)
+SELECT doc_id, size, source_size, target,
+       size * (whole + (extra <> (usable AND place = 1))::BIGINT) AS taken
+FROM swaps""",
+    "op6_decontaminate": rf"""
+WITH items AS (
+    SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_BENCHMARK_WORDS} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, m, array_to_string(w[a:a + m - 1], ' ') AS gram
+    FROM (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS a
+          FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT m FROM windows),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_BENCHMARK_WORDS}, []) AS w FROM documents),
+grams AS (
+    SELECT r, m, a, array_to_string(w[a:a + m - 1], ' ') AS gram
+    FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS a FROM docs, lengths WHERE len(w) >= m)),
+hits AS (SELECT r, a, g.m, item FROM grams g JOIN windows v ON g.m = v.m AND g.gram = v.gram),
+covered AS (
+    SELECT r, count(DISTINCT p) AS n_hit
+    FROM (SELECT r, unnest(range(a, a + m)) AS p FROM hits) GROUP BY r),
+found AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)""",
+}
