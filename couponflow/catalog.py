@@ -29,6 +29,8 @@ ROW_KEYS = ["fold", "user_id", "merchant_id", "coupon_id", "date_received"]
 EVENT_KEYS = ["user_id", "merchant_id", "coupon_id", "date_received", "date"]
 # Small models for the registered queries; the tuned sizes are in ``models.estimators``.
 QUICK = {"maxIter": 4, "maxDepth": 4, "numTrees": 6, "stepSize": 0.1, "minInstancesPerNode": 5}
+# Rows (about) of the sample that a search is tuned on.
+TUNING_ROWS = 10_000
 BIN_EDGES = (0.6, 0.7, 0.8, 0.9)
 SLIDING = dict(
     first=date(1997, 1, 1),
@@ -62,6 +64,12 @@ class Inputs:
     def online(self) -> DataFrame:
         return clean_online(self.raw_online)
 
+    @cached_property
+    def training_events(self) -> DataFrame:
+        """All store events before the batch to score."""
+        day = F.coalesce("date_received", "date")
+        return self.raw.where(day < F.lit(standin.PREDICT_FOLD.label_from))
+
     @cached_property
     def history(self) -> DataFrame:
         return folds.history_rows(self.offline, standin.FOLDS)
@@ -356,13 +364,17 @@ def predict_history_rows(i: Inputs) -> DataFrame:
 @query
 def date_split(i: Inputs) -> DataFrame:
     """Labelled receipts before and inside the second label window."""
+    return _dated_parts(i).select(*EVENT_KEYS, "label", "part")
+
+
+def _dated_parts(i: Inputs) -> DataFrame:
     cut = standin.FOLDS[1]
     day = F.col("date_received")
     part = F.when(day < F.lit(cut.label_from), "train").when(
         day.between(F.lit(cut.label_from), F.lit(cut.label_to)), "valid"
     )
     rows = i.offline.withColumn("label", dates.three_way_label()).where("label <> -1")
-    return rows.withColumn("part", part).where("part is not null").select(*EVENT_KEYS, "label", "part")
+    return rows.withColumn("part", part).where("part is not null")
 
 
 @query
@@ -418,13 +430,16 @@ def join_left_3key(i: Inputs) -> DataFrame:
 
 @query
 def cold_start_users(i: Inputs) -> DataFrame:
-    return reports.missing_keys(standin.offline_batch(i.spark, i.sf_dir), i.history, "user_id")
+    """Users of the batch to score that no event of the training table names."""
+    return reports.missing_keys(standin.offline_batch(i.spark, i.sf_dir), i.training_events, "user_id")
 
 
 @query
 def cold_start_merchants(i: Inputs) -> DataFrame:
-    """Merchants that web users acted on but that no store event names."""
-    return reports.missing_keys(i.online, i.offline, "merchant_id")
+    """As for users: merchants of the batch that are new."""
+    return reports.missing_keys(
+        standin.offline_batch(i.spark, i.sf_dir), i.training_events, "merchant_id"
+    )
 
 
 # --- history features ----------------------------------------------------------------------
@@ -682,7 +697,7 @@ def split_train_test(i: Inputs) -> DataFrame:
 
 @query
 def tuning_sample(i: Inputs) -> DataFrame:
-    return sampling.sample_rows(i.identified.select("row_id", "label"), 10_000)
+    return sampling.sample_rows(i.identified.select("row_id", "label"), TUNING_ROWS)
 
 
 @query
@@ -699,7 +714,7 @@ def bagging_split(i: Inputs) -> DataFrame:
 @query
 def undersample(i: Inputs) -> DataFrame:
     rows = i.identified.select("row_id", "user_id", "label")
-    return sampling.undersample(rows, others=4041)
+    return sampling.undersample(rows, others=200)
 
 
 # --- metrics, scaling, blending ------------------------------------------------------------
@@ -788,8 +803,8 @@ _train_query("train_et", "et_gini", "et_entropy")
 
 @query
 def train_logistic(i: Inputs) -> DataFrame:
-    """Baseline: discount and weekday columns only, split by date."""
-    rows = i.identified.withColumns(
+    """Baseline: discount and weekday columns, all receipts before the cut, tested on the next window."""
+    rows = _dated_parts(i).withColumns(
         {
             "discount_rate": discount.alt_paid_share(),
             "discount_man": discount.alt_spend(),
@@ -804,8 +819,9 @@ def train_logistic(i: Inputs) -> DataFrame:
     inputs = ["discount_rate", "discount_man", "discount_jian", "discount_type", "distance"]
     inputs += ["weekday", "weekday_type", *[f"weekday_{n}" for n in range(1, 8)]]
     vectors = stage(training.assemble(rows, inputs), "baseline")
-    model = make("logistic").fit(vectors.where("fold = 1"))
-    return training.metrics(training.score(model, vectors.where("fold = 2")), "logistic")
+    before = F.col("date_received") < F.lit(standin.FOLDS[1].label_from)
+    model = make("logistic").fit(vectors.where(before))
+    return training.metrics(training.score(model, vectors.where(~before)), "logistic")
 
 
 @query
@@ -833,7 +849,7 @@ def feature_importance(i: Inputs) -> DataFrame:
 @query
 def grid_search(i: Inputs) -> DataFrame:
     """Five-fold AUC per tree depth on the tuning sample."""
-    sample = sampling.sample_rows(i.vectors, 10_000)
+    sample = sampling.sample_rows(i.vectors, TUNING_ROWS)
     quick = make("gbt", maxIter=2, stepSize=0.1, minInstancesPerNode=5)
     trials = search.grid_search(sample, quick, {"maxDepth": [2, 3]})
     rows = [(str(t.params), float(t.mean_auc), float(t.two_std)) for t in trials]
@@ -843,7 +859,7 @@ def grid_search(i: Inputs) -> DataFrame:
 @query
 def coordinate_search(i: Inputs) -> DataFrame:
     """Walk along the two regularisation parameters of a logistic model on the tuning sample."""
-    sample = sampling.sample_rows(i.vectors, 10_000)
+    sample = sampling.sample_rows(i.vectors, TUNING_ROWS)
     steps = {"regParam": search.Step(0.05, 0.0, 0.1), "elasticNetParam": search.Step(0.5, 0.0, 1.0)}
     evaluate = search.cross_validated(sample, "logistic", folds=2)
     start = {"regParam": 0.05, "elasticNetParam": 0.5, "maxIter": 5}

@@ -69,7 +69,7 @@ DEFAULTS: dict[str, tuple[type, dict[str, Any]]] = {
             numTrees=3100, maxDepth=13, minInstancesPerNode=10, impurity="entropy", bootstrap=False
         ),
     ),
-    "logistic": (LogisticRegression, dict(regParam=0.01, elasticNetParam=0.01, maxIter=100)),
+    "logistic": (LogisticRegression, dict(regParam=0.01, elasticNetParam=0.01, maxIter=100, standardization=False)),
     "fm": (FMClassifier, dict(factorSize=8, solver="adamW", stepSize=0.01, maxIter=100)),
 }
 

@@ -54,7 +54,7 @@ def grid_search(
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=points,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
+        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, numBins=0),
         numFolds=folds,
         foldCol="split",
         parallelism=parallelism,
@@ -72,17 +72,20 @@ def coordinate_search(
     evaluate: Callable[[dict[str, Any], str, list[Any]], tuple[Any, float]],
     start: dict[str, Any],
     steps: dict[str, Step],
-    max_sweeps: int = 2,
+    max_sweeps: int | None = None,
 ) -> tuple[dict[str, Any], list[Trial]]:
     """Climb one parameter at a time, and sweep again until nothing changes.
 
     ``evaluate(params, name, values)`` returns the best of ``values`` for parameter ``name``
     and its score. A parameter is first tried one step down, as it is, and one step up; then
     it goes on in the better direction, one value per round, until the score falls or a limit
-    is reached.
+    is reached. ``max_sweeps`` may end the walk early; the log then stops short of a sweep that
+    changes nothing.
     """
     params, log = dict(start), []
-    for _ in range(max_sweeps):
+    sweeps = 0
+    while max_sweeps is None or sweeps < max_sweeps:
+        sweeps += 1
         before = dict(params)
         for name, step in steps.items():
             here = params[name]

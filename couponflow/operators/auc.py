@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from couponflow.session import stage
+
 SCORES_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 2_000
 
@@ -32,7 +34,8 @@ def auc_by_group(
     counts = scored.groupBy(*groups, F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
-    bucketed = _bucketed(counts, scores_per_bucket)
+    # Staged, as it is read for its size, its quantiles and the result.
+    bucketed = _bucketed(stage(counts, "score-counts"), scores_per_bucket)
     below = Window.partitionBy(*groups, "_bucket").orderBy("_score")
     below = below.rowsBetween(Window.unboundedPreceding, -1)
     beaten = F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from couponflow.operators.spread import HotKeys, matching
 
-ROWS_PER_BUCKET = 1_000_000
+#: Hex digits of the hash that name a bucket of :func:`stratified_folds`: 16 ** 6 buckets a class, whatever
+#: the table, so a row's fold depends on the rows that share its bucket and on nothing else.
+HASH_DIGITS = 6
 
 
 def hash_fraction(seed: int | str, row_id: str = "row_id") -> Column:
@@ -44,15 +44,12 @@ def sample_rows(rows: DataFrame, wanted: int, seed: int = 0) -> DataFrame:
     return rows.where(hash_fraction(f"{seed}-sample") < share_for(rows, wanted))
 
 
-def stratified_folds(rows: DataFrame, k: int, seed: int = 0, digits: int | None = None) -> DataFrame:
+def stratified_folds(rows: DataFrame, k: int, seed: int = 0, digits: int = HASH_DIGITS) -> DataFrame:
     """Add ``split`` 0..k-1 with equal class shares.
 
-    Rows of a class are dealt out in hash order inside hash buckets. There are 16^digits
-    buckets, at least 4,096 and more for bigger tables, so every sort stays small and class
-    counts differ by at most one row per bucket.
+    Rows of a class are dealt out in hash order inside 16 ** digits hash buckets, so every sort stays
+    small. A bucket starts at its own number, which keeps the class shares equal.
     """
-    if digits is None:
-        digits = hash_digits(rows.count())
     hashed = rows.withColumn("_hash", _hash(seed, "row_id"))
     bucket = F.substring("_hash", 1, digits)
     order = Window.partitionBy("label", bucket).orderBy("_hash", "row_id")
@@ -61,10 +58,6 @@ def stratified_folds(rows: DataFrame, k: int, seed: int = 0, digits: int | None
     return hashed.withColumn("split", dealt).drop("_hash")
 
 
-def hash_digits(rows: int) -> int:
-    return max(3, ceil(log(max(rows / ROWS_PER_BUCKET, 1), 16)))
-
-
 def bagging_split(rows: DataFrame, bag: int, test_share: float = 0.33) -> DataFrame:
     """Add ``is_test`` for one bag; the bag number is the seed."""
     return rows.withColumn("is_test", hash_fraction(f"bag-{bag}") < test_share)

@@ -1,8 +1,8 @@
 """Joins and row numbers that survive hot keys.
 
-A key is hot when it has more rows than one task should take. The limit grows with the table
-so that fewer than ``MAX_HOT_KEYS`` keys can be above it, which bounds every broadcast here by
-construction. Results are whole: hot keys are only spread over more tasks.
+A key is hot when it has more rows than one task should take. The limit is the same for all tables: a
+table of n rows has at most n / ``ROWS_PER_TASK`` hot keys (2 million for 10^13 rows), which bounds
+every broadcast here. Results are whole: hot keys are only spread over more tasks.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 5_000_000
-MAX_HOT_KEYS = 50_000
 SALT = "_salt"
 PIECES = "_pieces"
 
 
-def hot_limit(total_rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
-    """Rows above which a key is hot. At most ``MAX_HOT_KEYS - 1`` keys can exceed it."""
-    return max(rows_per_task, total_rows // MAX_HOT_KEYS, 1)
+def legal_buckets(wanted: int, most: int) -> int:
+    """Buckets to write: what is wanted, and never more than the engine's setting allows."""
+    return max(1, min(wanted, most))
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -65,7 +64,7 @@ class HotKeys:
     def __init__(self, rows: DataFrame, rows_per_task: int = ROWS_PER_TASK):
         self.rows = rows
         total = rows.count()
-        self.limit = hot_limit(total, rows_per_task)
+        self.limit = max(rows_per_task, 1)
         self.possible = total > self.limit
         self._found: dict[tuple[str, ...], DataFrame | None] = {}
 
@@ -110,12 +109,13 @@ class UserLayout:
     def of(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> UserLayout:
         total = rows.count()
         shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        limit = hot_limit(total, rows_per_task)
+        limit = max(rows_per_task, 1)
+        most = int(rows.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
         if total <= limit:
             return UserLayout(None, limit, None)
         found = hot_keys(rows, ["user_id"], limit).select("user_id")
         found = None if found.isEmpty() else found
-        return UserLayout(max(shuffles, ceil(total / rows_per_task)), limit, found)
+        return UserLayout(legal_buckets(max(shuffles, ceil(total / rows_per_task)), most), limit, found)
 
     def usual(self, rows: DataFrame) -> DataFrame:
         """Rows of users that are not hot."""

@@ -220,13 +220,14 @@ SQL = {
     ),
     "join_left_3key": query([OFFLINE, CLEAN, BATCH, IN_BATCH], f"SELECT {ROW}, o11 FROM in_batch"),
     "cold_start_users": query(
-        [OFFLINE, CLEAN, history()],
-        f"""SELECT DISTINCT user_id FROM clean WHERE {PREDICT_LABEL}
-            AND user_id NOT IN (SELECT user_id FROM history)""",
+        [OFFLINE, CLEAN],
+        f"""SELECT DISTINCT user_id FROM clean WHERE {PREDICT_LABEL} AND user_id NOT IN
+            (SELECT user_id FROM offline WHERE coalesce(date_received, "date") < DATE '2001-01-01')""",
     ),
     "cold_start_merchants": query(
-        [OFFLINE, ONLINE],
-        """SELECT merchant_id FROM online EXCEPT SELECT merchant_id FROM offline""",
+        [OFFLINE, CLEAN],
+        f"""SELECT DISTINCT merchant_id FROM clean WHERE {PREDICT_LABEL} AND merchant_id NOT IN
+            (SELECT merchant_id FROM offline WHERE coalesce(date_received, "date") < DATE '2001-01-01')""",
     ),
     "dedup_rows": query([OFFLINE], "SELECT DISTINCT * FROM offline"),
     "head_sample": query(
@@ -245,10 +246,25 @@ SQL = {
     ),
     "stratified_folds": query(
         [OFFLINE, CLEAN, BATCH, IDENTIFIED],
-        """SELECT row_id, label, ((row_number() OVER (PARTITION BY label, substr(h, 1, 3)
-                  ORDER BY h, row_id) + ('0x' || substr(h, 1, 3))::BIGINT) % 3)::INTEGER AS split
+        """SELECT row_id, label, ((row_number() OVER (PARTITION BY label, substr(h, 1, 6)
+                  ORDER BY h, row_id) + ('0x' || substr(h, 1, 6))::BIGINT) % 3)::INTEGER AS split
            FROM (SELECT row_id, label, md5(row_id || '/0') AS h FROM identified)""",
     ),
+    "tuning_sample": query(
+        [OFFLINE, CLEAN, BATCH, IDENTIFIED],
+        f"""SELECT row_id, label FROM identified
+            WHERE {fraction("row_id || '/0-sample'")}
+                  < least(1.0::DOUBLE, 10000::DOUBLE / (SELECT count(*) FROM identified))""",
+    ),
+    "undersample": query(
+        [OFFLINE, CLEAN, BATCH, IDENTIFIED],
+        f"""SELECT row_id, user_id, label
+            FROM (SELECT row_id, user_id, label, max(label) OVER (PARTITION BY user_id) = 1 AS kept
+                  FROM identified)
+            WHERE kept OR {fraction("row_id || '/0-sample'")} < least(1.0::DOUBLE, 200::DOUBLE / (
+                SELECT count(*) FROM (SELECT max(label) OVER (PARTITION BY user_id) AS m FROM identified)
+                WHERE m <> 1))""",
+    ),
     "bagging_split": query(
         [OFFLINE, CLEAN, BATCH, IDENTIFIED],
         f"""SELECT row_id, label, {fraction("row_id || '/bag-1'")} < 0.33 AS is_test

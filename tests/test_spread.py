@@ -5,11 +5,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from couponflow.operators.spread import (
-    MAX_HOT_KEYS,
+    ROWS_PER_TASK,
     HotKeys,
     UserLayout,
     attach,
-    hot_limit,
+    legal_buckets,
     number_copies,
     with_row_ids,
 )
@@ -26,10 +26,10 @@ def rows(spark):
     return raw
 
 
-def test_hot_limit_bounds_the_hot_list():
-    assert hot_limit(10, 100) == 100
-    total = 10**13
-    assert total / hot_limit(total) <= MAX_HOT_KEYS + 1
+def test_buckets_stay_legal():
+    """Also for a pretended table of 10^13 rows."""
+    assert legal_buckets(8, 100_000) == 8
+    assert legal_buckets(10**13 // ROWS_PER_TASK, 100_000) == 100_000
 
 
 def test_hot_keys_only_where_needed(spark):

@@ -35,11 +35,6 @@ def test_stratified_folds_balance_classes(rows):
         assert max(counts) - min(counts) <= 16
 
 
-def test_hash_digits_grow():
-    assert sampling.hash_digits(1000) == 3
-    assert sampling.hash_digits(10**12) == 5
-
-
 def test_undersample_keeps_users_with_positives(rows):
     kept = sampling.undersample(rows, others=100)
     with_positive = rows.where("label = 1").select("user_id").distinct()
@@ -101,3 +96,31 @@ def test_blends(spark):
     four = df.select(blending.weighted_mean(["a", "b", "a", "b"], blending.CHECKPOINT_WEIGHTS))
     assert [r[0] for r in four.collect()] == pytest.approx([4 / 6, 4 / 6])
     assert [r.a for r in blending.stretch(df.select((F.col("a") * 3 + 1).alias("a")), "a").collect()] == [0, 1]
+
+
+def test_new_keys_of_a_batch(spark):
+    from couponflow.plans import reports
+
+    batch = spark.createDataFrame([(1, 10), (2, 11), (2, 12)], "user_id long, merchant_id long")
+    events = spark.createDataFrame([(1, 11), (3, 12)], "user_id long, merchant_id long")
+    assert [r.user_id for r in reports.missing_keys(batch, events, "user_id").collect()] == [2]
+    assert [r.merchant_id for r in reports.missing_keys(batch, events, "merchant_id").collect()] == [10]
+
+
+def test_walk_goes_on_until_nothing_changes():
+    from couponflow.models.search import Step, coordinate_search
+
+    def evaluate(params, name, values):
+        """One parameter can only get one step ahead of the other, so a sweep gains two steps."""
+
+        def value(v):
+            p = {**params, name: v}
+            return p["a"] + p["b"] + 1 if abs(p["a"] - p["b"]) <= 1 else 0
+
+        best = max(values, key=value)
+        return best, value(best)
+
+    steps = {"a": Step(1, 0, 9), "b": Step(1, 0, 9)}
+    assert coordinate_search(evaluate, {"a": 0, "b": 0}, steps)[0] == {"a": 9, "b": 9}
+    short, _ = coordinate_search(evaluate, {"a": 0, "b": 0}, steps, max_sweeps=2)
+    assert short["a"] < 9
