@@ -270,32 +270,28 @@ def _replacements(found: DataFrame, key: str) -> DataFrame:
 
 
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the columns ``_values`` (entities in order) and ``_new`` (text)."""
-    read = docs.withColumn("_values", _found(F.col("text")))
-    found = stage(
-        read.where(F.size("_values") > 0).select(F.md5("text").alias("key"), F.col("_values").alias("values")),
-        "entities-by-text",
-    ).dropDuplicates(["key"])
-    known = stage(_replacements(found, key), "replacements-by-text")
-    clean = read.where(F.size("_values") == 0).withColumn("_new", F.col("text"))
-    touched = read.where(F.size("_values") > 0).withColumn("_key", F.md5("text"))
-    touched = touched.join(known.withColumnRenamed("key", "_key"), "_key")
-    between = F.split("text", ANY, -1)
+    """``row`` (all columns), ``values`` (its entities in order) and ``new`` (its text) of every document."""
+    read = docs.select(F.struct("*").alias("row"), _found(F.col("text")).alias("values"))
+    # Written once, as the patterns cost far more than a copy of the texts.
+    read = stage(read.withColumn("key", F.when(F.size("values") > 0, F.md5("row.text"))), "texts-and-entities")
+    touched = read.where("key IS NOT NULL")
+    known = stage(_replacements(touched.select("key", "values").dropDuplicates(["key"]), key), "replacements-by-text")
+    between = F.split("row.text", ANY, -1)
     instead = F.concat(
-        F.transform("_values", lambda v: F.coalesce(F.element_at(F.col("known"), v), v)), F.array(F.lit(""))
+        F.transform("values", lambda v: F.coalesce(F.element_at(F.col("known"), v), v)), F.array(F.lit(""))
     )
     new = F.array_join(F.zip_with(between, instead, lambda a, b: F.concat(a, b)), "")
-    touched = touched.withColumn("_new", new).select(*clean.columns)
-    return clean.unionByName(touched)
+    clean = read.where("key IS NULL").select("row", "values", F.col("row.text").alias("new"))
+    return clean.unionByName(touched.join(known, "key").select("row", "values", new.alias("new")))
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``doc_id, text`` (replaced) and ``n_entities`` of every document."""
     done = _replaced(docs.select("doc_id", "text"), key)
-    return done.select("doc_id", F.col("_new").alias("text"), F.size("_values").cast("long").alias("n_entities"))
+    return done.select("row.doc_id", F.col("new").alias("text"), F.size("values").cast("long").alias("n_entities"))
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All documents with their columns, personal data in ``text`` replaced."""
     done = _replaced(docs, key)
-    return done.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
