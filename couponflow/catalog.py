@@ -94,7 +94,7 @@ class Inputs:
 
     @cached_property
     def hot_rows(self) -> spread.HotKeys:
-        return spread.HotKeys(self.batch)
+        return spread.HotKeys(stage(self.batch, "batch"))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -616,6 +616,19 @@ def train_matrix(i: Inputs) -> DataFrame:
     return matrix.training_matrix(i.feature_table).drop("row_id")
 
 
+@query
+def train_matrix_compat(i: Inputs) -> DataFrame:
+    """With the history in which rows without a receipt date pass an open receipt window."""
+    table = matrix.feature_table(i.raw, i.raw_online, standin.FOLDS, compat_sentinel=True)
+    return matrix.training_matrix(table).drop("row_id")
+
+
+@query
+def train_matrix_live(i: Inputs) -> DataFrame:
+    """Without the features that look at the whole batch."""
+    return matrix.training_matrix(i.feature_table, include_batch_features=False).drop("row_id")
+
+
 @query
 def scoring_matrix(i: Inputs) -> DataFrame:
     ids = ["user_id", "merchant_id", "coupon_id", "date_received"]
@@ -804,7 +817,19 @@ _train_query("train_et", "et_gini", "et_entropy")
 @query
 def train_logistic(i: Inputs) -> DataFrame:
     """Baseline: discount and weekday columns, all receipts before the cut, tested on the next window."""
-    rows = _dated_parts(i).withColumns(
+    vectors = stage(training.assemble(_baseline_rows(_dated_parts(i)), BASELINE_INPUTS), "baseline")
+    before = F.col("date_received") < F.lit(standin.FOLDS[1].label_from)
+    model = make("logistic").fit(vectors.where(before))
+    return training.metrics(training.score(model, vectors.where(~before)), "logistic")
+
+
+BASELINE_INPUTS = ["discount_rate", "discount_man", "discount_jian", "discount_type", "distance"]
+BASELINE_INPUTS += ["weekday", "weekday_type", *[f"weekday_{n}" for n in range(1, 8)]]
+
+
+def _baseline_rows(receipts: DataFrame) -> DataFrame:
+    """Cleaned receipts with the inputs of the baseline."""
+    rows = receipts.withColumns(
         {
             "discount_rate": discount.alt_paid_share(),
             "discount_man": discount.alt_spend(),
@@ -814,14 +839,17 @@ def train_logistic(i: Inputs) -> DataFrame:
             "weekday_type": dates.is_weekend(),
             "distance": F.when(F.col("distance") == UNKNOWN_DISTANCE, -1).otherwise(F.col("distance")),
         }
-    ).select("*", *dates.weekday_flags())
-    rows = matrix.fill_missing(rows)
-    inputs = ["discount_rate", "discount_man", "discount_jian", "discount_type", "distance"]
-    inputs += ["weekday", "weekday_type", *[f"weekday_{n}" for n in range(1, 8)]]
-    vectors = stage(training.assemble(rows, inputs), "baseline")
-    before = F.col("date_received") < F.lit(standin.FOLDS[1].label_from)
-    model = make("logistic").fit(vectors.where(before))
-    return training.metrics(training.score(model, vectors.where(~before)), "logistic")
+    )
+    return matrix.fill_missing(rows.select("*", *dates.weekday_flags()))
+
+
+@query
+def submission_baseline(i: Inputs) -> DataFrame:
+    """The batch scored by the baseline as trained before the cut, written and read back."""
+    train = training.assemble(_baseline_rows(_dated_parts(i).where("part = 'train'")), BASELINE_INPUTS)
+    model = make("logistic").fit(stage(train, "baseline"))
+    batch = _baseline_rows(clean_offline(standin.offline_batch(i.spark, i.sf_dir)).distinct())
+    return _submitted(i, batch, BASELINE_INPUTS, lambda rows: training.score(model, rows))
 
 
 @query
@@ -882,7 +910,7 @@ def stack_oof(i: Inputs) -> DataFrame:
 def stack_meta(i: Inputs) -> DataFrame:
     """Metrics of the stack on the rows kept for testing."""
     train, test = training.split(i.vectors)
-    stack = stacking.Stack(bases=("gbt", "gbt_b"), overrides=STACK_QUICK)
+    stack = stacking.Stack(overrides=STACK_QUICK)
     stack.fit(train)
     return training.metrics(stack.predict(test), "stack")
 
@@ -890,13 +918,12 @@ def stack_meta(i: Inputs) -> DataFrame:
 @query
 def holdout_blend(i: Inputs) -> DataFrame:
     train, test = training.split(i.vectors)
-    small = [("gbt_a", 0), ("gbt", 0), ("rf_gini", 0)]
-    blend = stacking.HoldoutBlend(bases=small, overrides=STACK_QUICK).fit(train)
+    blend = stacking.HoldoutBlend(overrides=STACK_QUICK).fit(train)
     return training.metrics(blend.predict(test), "holdout_blend")
 
 
 def _stack_bag() -> stacking.StackBag:
-    return stacking.StackBag(stacking_num=2, bagging_num=2, overrides=STACK_QUICK)
+    return stacking.StackBag(overrides=STACK_QUICK)
 
 
 @query
@@ -916,9 +943,22 @@ def stack_bag_predict(i: Inputs) -> DataFrame:
 @query
 def submission(i: Inputs) -> DataFrame:
     """Stacked scores of the prediction batch, written and read back as header-less CSV."""
-    stack = stacking.Stack(bases=("gbt", "gbt_b"), k=2, overrides=STACK_QUICK)
+    stack = stacking.Stack(overrides=STACK_QUICK)
     stack.fit(i.vectors)
-    table = scoring.submission(i.scoring_table, matrix.model_inputs(i.matrix), stack.predict)
+    return _submitted(i, i.scoring_table, matrix.model_inputs(i.matrix), stack.predict)
+
+
+@query
+def submission_single(i: Inputs) -> DataFrame:
+    """As ``submission``, with one named model instead of the stack."""
+    model = make("gbt", **QUICK).fit(i.vectors)
+    inputs = matrix.model_inputs(i.matrix)
+    return _submitted(i, i.scoring_table, inputs, lambda rows: training.score(model, rows))
+
+
+def _submitted(i: Inputs, table: DataFrame, inputs: list[str], predict) -> DataFrame:
+    """Scores of a batch, written and read back as header-less CSV."""
+    table = scoring.submission(table, inputs, predict)
     path = table_path(i.spark, "submission")
     sinks.write_submission(table, path)
     schema = "user_id bigint, coupon_id bigint, date_received string, probability double"

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 5_000_000
@@ -50,22 +51,26 @@ def attach(
     keys = list(keys)
     if hot is None:
         return rows.join(features, keys, "left")
-    hot = F.broadcast(hot)
     piece = F.pmod(F.xxhash64(*spread_by), F.coalesce(PIECES, F.lit(1)))
-    salted = rows.join(hot, keys, "left").withColumn(SALT, piece.cast("int")).drop(PIECES)
+    salted = _null_safe(rows, hot, keys, "left").withColumn(SALT, piece.cast("int")).drop(PIECES)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(PIECES, F.lit(1)) - 1))
-    repeated = features.join(hot, keys, "left").withColumn(SALT, copies).drop(PIECES)
+    repeated = _null_safe(features, hot, keys, "left").withColumn(SALT, copies).drop(PIECES)
     return salted.join(repeated, [*keys, SALT], "left").drop(SALT)
 
 
+def _null_safe(rows: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a list of hot keys, in which a missing key counts as a key."""
+    marks = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return rows.join(F.broadcast(marks), same, how).drop(*[f"_hot_{k}" for k in keys])
+
+
 class HotKeys:
-    """Looks up the hot keys of one (staged) table, and nothing at all for a small table."""
+    """Looks up the hot keys of one (staged) table, by the same search for every size."""
 
     def __init__(self, rows: DataFrame, rows_per_task: int = ROWS_PER_TASK):
         self.rows = rows
-        total = rows.count()
         self.limit = max(rows_per_task, 1)
-        self.possible = total > self.limit
         self._found: dict[tuple[str, ...], DataFrame | None] = {}
 
     def of(self, keys: Sequence[str]) -> DataFrame | None:
@@ -75,8 +80,6 @@ class HotKeys:
         so wider keys are counted over the rows of hot ids alone.
         """
         keys = tuple(keys)
-        if not self.possible:
-            return None
         if keys not in self._found:
             self._found[keys] = self._search(keys)
         return self._found[keys]
@@ -87,7 +90,7 @@ class HotKeys:
             leading = self.of(keys[:2])
             if leading is None:
                 return None
-            rows = rows.join(F.broadcast(leading), list(keys[:2]), "left_semi")
+            rows = _null_safe(rows, leading, keys[:2], "left_semi")
         found = hot_keys(rows, keys, self.limit)
         return None if found.isEmpty() else found
 
@@ -98,10 +101,10 @@ class UserLayout:
 
     Most users are small, so their rows can share buckets by user: all per-user work is then
     local. Users above the limit are hot; their rows are kept apart and shuffled by finer keys.
-    A table that fits one task needs no buckets at all.
+    Tables of all sizes are laid out like this; only the number of buckets follows the rows.
     """
 
-    buckets: int | None
+    buckets: int
     limit: int
     hot_users: DataFrame | None
 
@@ -111,8 +114,6 @@ class UserLayout:
         shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         limit = max(rows_per_task, 1)
         most = int(rows.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-        if total <= limit:
-            return UserLayout(None, limit, None)
         found = hot_keys(rows, ["user_id"], limit).select("user_id")
         found = None if found.isEmpty() else found
         return UserLayout(legal_buckets(max(shuffles, ceil(total / rows_per_task)), most), limit, found)
@@ -121,10 +122,10 @@ class UserLayout:
         """Rows of users that are not hot."""
         if self.hot_users is None:
             return rows
-        return rows.join(F.broadcast(self.hot_users), "user_id", "left_anti")
+        return _null_safe(rows, self.hot_users, ["user_id"], "left_anti")
 
     def hot(self, rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(self.hot_users), "user_id", "left_semi")
+        return _null_safe(rows, self.hot_users, ["user_id"], "left_semi")
 
 
 def matching(

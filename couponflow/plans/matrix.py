@@ -74,7 +74,7 @@ def row_features(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class UserGroup:
-    """Tables of one group of users: all usual users (in buckets, if many), or all hot ones.
+    """Tables of one group of users: all usual users (in buckets), or all hot ones.
 
     ``batch`` is the whole batch that the in-batch features describe; ``rows`` is the batch or
     its distinct rows.
@@ -85,7 +85,7 @@ class UserGroup:
     history: DataFrame
     web_history: DataFrame
     pairs: DataFrame
-    buckets: int | None
+    buckets: int | None  # None for the hot users, who have no buckets
     hot: HotKeys | None
 
 
@@ -139,9 +139,7 @@ def user_side(group: UserGroup) -> DataFrame:
 
 
 def _finished_user_side(group: UserGroup) -> DataFrame:
-    """Small tables stay lazy; the others are written, which ends their long plan."""
-    if group.buckets is None and group.hot is None:
-        return user_side(group)
+    """Written, which ends the long plan."""
     local = CO_LOCATED if group.buckets is not None else {}
     with settings(group.rows.sparkSession, local):
         return stage(user_side(group), "user-side")
@@ -151,7 +149,7 @@ def assemble(groups: Sequence[UserGroup], rows_per_task: int = ROWS_PER_TASK) ->
     """All features for the rows of all user groups."""
     rows = _union(g.rows for g in groups).withColumn(ITEM_TEXT, _item_text())
     hot = HotKeys(rows, rows_per_task)
-    items = item_features(groups, rows, rows_per_task if hot.possible else None)
+    items = item_features(groups, rows, rows_per_task)
     spread_by = [c for c in groups[0].rows.columns if c not in ("label", "discount_rate")]
     out = _union(_finished_user_side(g) for g in groups).withColumn(ITEM_TEXT, _item_text())
     hot_items = hot.of(ITEM) if hot.of(past.COUPON) is not None else None
@@ -159,18 +157,10 @@ def assemble(groups: Sequence[UserGroup], rows_per_task: int = ROWS_PER_TASK) ->
     return out.withColumn("m2", zero_if_missing("m2"))
 
 
-def item_features(
-    groups: Sequence[UserGroup], rows: DataFrame, rows_per_task: int | None
-) -> DataFrame:
-    """Merchant, coupon and discount features per distinct item of the batch.
-
-    ``rows_per_task`` is ``None`` when the rows are too few for any item key to be hot.
-    """
-    items = rows.select(*ITEM, "discount_rate_text").distinct()
-    hot = None
-    if rows_per_task is not None:
-        items = stage(items, "items")
-        hot = HotKeys(items, rows_per_task)
+def item_features(groups: Sequence[UserGroup], rows: DataFrame, rows_per_task: int) -> DataFrame:
+    """Merchant, coupon and discount features per distinct item of the batch."""
+    items = stage(rows.select(*ITEM, "discount_rate_text").distinct(), "items")
+    hot = HotKeys(items, rows_per_task)
     history, batch = _union(g.history for g in groups), _union(g.batch for g in groups)
     pairs = _union(g.pairs for g in groups)
     merchant_coupon = past.merchant_coupon_counts(history)
@@ -187,7 +177,7 @@ def item_features(
         (past.discount_features(history), past.DISCOUNT),
     ]
     for features, keys in tables:
-        items = attach(items, features, keys, hot.of(keys) if hot else None, ITEM)
+        items = attach(items, features, keys, hot.of(keys), ITEM)
     return items.drop("discount_rate_text")
 
 
@@ -251,7 +241,7 @@ def _per_layout(layout: UserLayout, group, *tables: DataFrame) -> list[UserGroup
 
 
 def _store(layout: UserLayout, hot: bool):
-    if hot or layout.buckets is None:
+    if hot:
         return stage
     return lambda df, name: stage_by_key(df, name, "user_id", layout.buckets)
 

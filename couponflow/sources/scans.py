@@ -8,8 +8,23 @@ from pyspark.sql import types as T
 from couponflow.sources import schemas
 
 
+#: Column names that the files spell differently.
+IN_FILES = {"discount_rate_text": "discount_rate"}
+
+
+def check_header(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Columns are read by place, so a header with other names or another order is an error."""
+    found = [c.strip().lower() for c in spark.read.option("header", True).csv(path).columns]
+    for place, (name, wanted) in enumerate(zip(found, schema.names)):
+        if name not in (wanted, IN_FILES.get(wanted)):
+            raise ValueError(f"column {place + 1} of {path} is {name}, not {wanted}")
+    if len(found) != len(schema.names):
+        raise ValueError(f"{path} has {len(found)} columns, not {len(schema.names)}")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Header CSV with ``null`` for missing values and ``yyyyMMdd`` dates."""
+    check_header(spark, path, schema)
     return (
         spark.read.schema(schema)
         .option("header", True)

@@ -136,9 +136,20 @@ FLAGS = """coupon_id <> {none} AND "date" IS NOT NULL AS used,
          coupon_id <> {none} AS held"""
 
 
-def history(name: str = "history", source: str = "clean", none: str = "0") -> str:
+def _sentinel(condition: str) -> str:
+    """A missing day counts as 1970-01-01, which only a window that is open at the start takes."""
+    for day in ("date_received", '"date"'):
+        condition = condition.replace(f"{day} <=", f"coalesce({day}, DATE '1970-01-01') <=")
+    return condition
+
+
+def history(
+    name: str = "history", source: str = "clean", none: str = "0", compat: bool = False
+) -> str:
     parts = []
     for fold, _, receipts, purchases in FOLDS:
+        if compat:
+            receipts, purchases = _sentinel(receipts), _sentinel(purchases)
         parts.append(f"SELECT {fold} AS fold, * FROM {source} WHERE {receipts}")
         parts.append(
             f"SELECT {fold} AS fold, * FROM {source} WHERE coupon_id = {none} AND {purchases}"

@@ -243,6 +243,10 @@ def filled(spec: str) -> str:
 
 
 TRAIN_CTES = [OFFLINE, CLEAN, ONLINE, WEB, history(), WEB_HISTORY, BATCH, *ALL_HISTORY, MATRIX]
+COMPAT_CTES = [OFFLINE, CLEAN, ONLINE, WEB, history(compat=True)]
+COMPAT_CTES += [history("web_history", "web", "'0'", compat=True), BATCH, *ALL_HISTORY, MATRIX]
+IN_BATCH_INPUTS = {"m5", "m6", "c5", *[f"o{n}" for n in range(1, 19)]}
+LIVE_SPEC = " ".join(s for s in INPUT_SPEC.split() if s.partition(":")[0] not in IN_BATCH_INPUTS)
 SCORE_CTES = [
     OFFLINE,
     CLEAN,
@@ -410,6 +414,12 @@ SQL = {
     "train_matrix": query(
         TRAIN_CTES, f"SELECT fold, coupon_id, label, {filled(INPUT_SPEC)} FROM features"
     ),
+    "train_matrix_compat": query(
+        COMPAT_CTES, f"SELECT fold, coupon_id, label, {filled(INPUT_SPEC)} FROM features"
+    ),
+    "train_matrix_live": query(
+        TRAIN_CTES, f"SELECT fold, coupon_id, label, {filled(LIVE_SPEC)} FROM features"
+    ),
     "scoring_matrix": query(
         SCORE_CTES,
         f"""SELECT DISTINCT user_id, merchant_id, coupon_id, date_received, {filled(INPUT_SPEC)}

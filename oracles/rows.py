@@ -313,7 +313,7 @@ SQL = {
         [OFFLINE, CLEAN, BATCH, ENCODED],
         "SELECT *, "
         + ", ".join(
-            f"(dense_rank() OVER (ORDER BY {c}) - 1)::INTEGER AS {c}_code" for c in CODES
+            f"(dense_rank() OVER (ORDER BY {c}) - 1)::BIGINT AS {c}_code" for c in CODES
         )
         + " FROM encoded",
     ),

@@ -2,6 +2,8 @@ import glob
 from datetime import date
 from pathlib import Path
 
+import pytest
+
 from couponflow.plans import reports
 from couponflow.session import shared_dir, table_path
 from couponflow.sources import scans, schemas, sinks, standin
@@ -63,3 +65,17 @@ def test_submission_has_no_header(spark, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_csv_with_another_header_is_refused(spark, tmp_path):
+    path = tmp_path / "batch.csv"
+    path.write_text("User_id,Merchant_id,Coupon_id,Discount_rate,Distance,Date_received\n1,2,3,0.9,4,20160101\n")
+    assert scans.offline_batch_csv(spark, str(path)).first().coupon_id == 3
+    swapped = tmp_path / "swapped.csv"
+    swapped.write_text("Merchant_id,User_id,Coupon_id,Discount_rate,Distance,Date_received\n1,2,3,0.9,4,20160101\n")
+    with pytest.raises(ValueError, match="column 1"):
+        scans.offline_batch_csv(spark, str(swapped))
+    short = tmp_path / "short.csv"
+    short.write_text("User_id,Merchant_id\n1,2\n")
+    with pytest.raises(ValueError, match="2 columns"):
+        scans.offline_batch_csv(spark, str(short))

@@ -77,8 +77,23 @@ def test_row_ids_are_distinct(spark):
 def test_user_layout(spark):
     table = rows(spark)
     small = UserLayout.of(table, rows_per_task=1000)
-    assert small.buckets is None and small.hot_users is None
+    assert small.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert small.hot_users is None
     split = UserLayout.of(table, rows_per_task=100)
     assert split.buckets == 10
     assert {r.user_id for r in split.hot_users.collect()} == {1}
     assert split.usual(table).count() + split.hot(table).count() == 1000
+
+
+def test_a_missing_key_can_be_hot(spark):
+    table = spark.createDataFrame(
+        [(1, None if n % 2 else n, f"r{n}") for n in range(200)], "fold int, user_id long, row_id string"
+    )
+    keys = ["fold", "user_id"]
+    hot = HotKeys(table, rows_per_task=30).of(keys)
+    assert [tuple(r) for r in hot.collect()] == [(1, None, 4)]
+    features = table.where("user_id is not null").select(*keys, F.lit(1).alias("n"))
+    plain = sorted(attach(table, features, keys).collect(), key=str)
+    assert sorted(attach(table, features, keys, hot).collect(), key=str) == plain
+    layout = UserLayout.of(table, rows_per_task=30)
+    assert (layout.usual(table).count(), layout.hot(table).count()) == (100, 100)

@@ -63,8 +63,13 @@ def test_label_encode_orders_numbers(spark):
         (10, 2),
         (10, 2),
     ]
-    with pytest.raises(ValueError):
-        scaling.label_codes(df, "v", max_codes=2)
+
+
+def test_label_codes_rank_over_many_ranges(spark):
+    df = spark.range(30_000).select((F.col("id") * 7 % 30_000 * 2).alias("v"))
+    codes = scaling.label_codes(df, "v")
+    assert codes.count() == 30_000 and codes.where("v <> 2 * v_code").count() == 0
+    assert scaling.label_codes(df.where("v < 0"), "v").count() == 0
 
 
 def test_variance_is_population(spark):
