@@ -1,169 +1,241 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background one.
 
-Both models are word bigram models with the same orders, smoothing and vocabulary: the hash slots of
-lower-cased words (``WORD_SLOTS``) and of pairs of them (``PAIR_SLOTS``). So the tables have a known size
-and can be broadcast, while their counts are gathered from every word of every document: each task sums
-its own texts and sends on its non-zero cells, and Spark adds these up by cell.
-
-A word's probability after another is the pair's share of all pairs with that first word, mixed with the
-word's share of all words, mixed with an equal share for every slot. The score of a document is the mean
-over its words of (loss under the target model - loss under the background model), in nats; below zero it
-is nearer to the target.
-
-Cases: a null or wordless text has no words and score 0; texts of any length are read whole, a block
-at a time; equal rows count each; with no target rows (or no rows at all) the target model is the equal
-share for every slot. Extra columns are ignored by :func:`score`.
+Both models are word bigram models with the same orders, smoothing and vocabulary: every distinct word of the
+corpus (lower-cased), and one more for words never seen. The background model counts all documents, the
+target model those where a condition holds. Counts are exact and have no cap: they grow with the corpus and
+so are never collected or broadcast.
+
+1. Blocks. Each task packs its documents into blocks of about ``BLOCK_WORDS`` words: the block's
+   distinct words as 64-bit hashes, and each document as numbers into them. A document is never split.
+2. Count. A block sends one row per distinct word or pair (a cell) with its own counts, and Spark adds these up.
+   A cell that only one block has is not kept: that block knows the whole count itself.
+3. Answer. Blocks ask for the cells they share with others; a cell that more blocks than one task should take
+   ask for is spread over several tasks.
+4. Score. A block meets its answers, which are bounded by its own words, and scores its documents in numpy.
+
+A word has the loss -log(PAIR * pair share + (1 - PAIR) * word share). The pair share is the part of the first
+word's occurrences that this word follows; it is left out (PAIR = 0) for the first word of a document and
+after a word the model has never seen. The word share is (1 - EQUAL) * part of all words + EQUAL / size
+of the vocabulary. The score of a document is the mean over its words of (loss under the target model -
+loss under the background model), in nats; below zero it is nearer to the target.
+
+Cells are told apart by 64-bit hashes; two of n cells share one with a chance of about n * n / 2 ** 64.
+
+Cases: a null or wordless text has no words and score 0; texts of any length are read whole; equal rows
+count each; without target rows the target model gives all words an equal share; a null condition
+is false; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_SLOTS = 1 << 18
-PAIR_SLOTS = 1 << 20
-#: Weights of the pair's, the word's and the equal share.
-MIX = (0.5, 0.45, 0.05)
-BLOCK = 1 << 16
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_slots(text: bytes | None) -> np.ndarray:
-    """Slot of each word."""
-    found = text.lower().split() if text else []
-    crcs = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
-    return ((crcs * _SPREAD) >> np.uint64(64 - 18)).astype(np.int64)
-
-
-def pair_slots(words: np.ndarray) -> np.ndarray:
-    """Slot of each word but the first with the word before it."""
-    mixed = (words[:-1].astype(np.uint64) << np.uint64(18) | words[1:].astype(np.uint64)) * _SPREAD
-    return (mixed >> np.uint64(64 - 20)).astype(np.int64)
+from couponflow.operators.spread import attach
+from couponflow.session import stage
+
+#: Weight of the pair's share, and of the equal share inside the word's share.
+PAIR = 0.5
+EQUAL = 0.1
+BLOCK_WORDS = 1 << 20
+#: Blocks asking for one cell that a single task takes.
+ASKED_PER_TASK = 1_000_000
+_SEND = 1 << 18
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
+
+_BLOCK = {
+    "block": pa.int64(),
+    "doc_ids": pa.list_(pa.int64()),
+    "lengths": pa.list_(pa.int32()),
+    "targets": pa.list_(pa.bool_()),
+    "hashes": pa.binary(),
+    "numbers": pa.binary(),
+}
+_BLOCK_SCHEMA = (
+    "block long, doc_ids array<long>, lengths array<int>, targets array<boolean>, hashes binary, numbers binary"
+)
+
+
+def pack(docs: DataFrame, target: Column) -> DataFrame:
+    """Blocks of documents (see ``_BLOCK_SCHEMA``): lengths and targets per document, the numbers of all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        size = 0
+        index: dict[bytes, int] = {}
+        ids, lengths, targets, numbers = [], [], [], []
+
+        def packed() -> pa.RecordBatch:
+            # Words have even hashes, pairs odd ones.
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)) & ~np.uint64(1)
+            row = (block, ids, lengths, targets, hashes.tobytes(), b"".join(numbers))
+            columns = [pa.array([v], k) for v, k in zip(row, _BLOCK.values(), strict=True)]
+            return pa.record_batch(columns, names=[*_BLOCK])
 
-@dataclass(frozen=True)
-class Counts:
-    """How often each slot occurs; ``first`` counts words that another one follows."""
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            rows = zip(batch.column("doc_id").to_pylist(), texts, batch.column("target").to_pylist(), strict=True)
+            for doc_id, text, is_target in rows:
+                found = text.lower().split() if text else []
+                own = np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found))
+                ids.append(doc_id)
+                lengths.append(len(found))
+                targets.append(is_target)
+                numbers.append(own.tobytes())
+                # Documents without words take room, too.
+                size += len(found) + 1
+                if size >= BLOCK_WORDS:
+                    yield packed()
+                    block, size, index = block + 1, 0, {}
+                    ids, lengths, targets, numbers = [], [], [], []
+        if ids:
+            yield packed()
+
+    rows = docs.select(
+        F.col("doc_id").cast("long"), "text", F.coalesce(target, F.lit(False)).alias("target")
+    )
+    return rows.mapInArrow(run, _BLOCK_SCHEMA)
 
-    words: np.ndarray
-    pairs: np.ndarray
-    first: np.ndarray
 
+@dataclass
+class Cells:
+    """The words and pairs of one block, with their counts in the block.
 
-@dataclass(frozen=True)
-class Models:
-    """Shares of both models, ready to be looked up."""
+    ``cell``, ``target`` and ``every`` list the words by number, then the distinct pairs; ``number`` is the
+    word at each place of the block, ``pair`` the cell of the pair that ends there (-1 at the start of a
+    document), ``doc`` the document it is in.
+    """
 
-    target: tuple[np.ndarray, np.ndarray, np.ndarray]
-    background: tuple[np.ndarray, np.ndarray, np.ndarray]
+    cell: np.ndarray
+    target: np.ndarray
+    every: np.ndarray
+    number: np.ndarray
+    pair: np.ndarray
+    doc: np.ndarray
 
     @staticmethod
-    def of(target: Counts, background: Counts) -> Models:
-        return Models(_shares(target), _shares(background))
-
-    def score(self, text: bytes | None) -> tuple[int, float, float]:
-        """Number of words and the mean loss under the target and the background model."""
-        words = word_slots(text)
-        if not len(words):
-            return 0, 0.0, 0.0
-        return len(words), *(_loss(m, words) / len(words) for m in (self.target, self.background))
-
-
-def _shares(counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = MIX[1] * counts.words / max(counts.words.sum(), 1) + MIX[2] / WORD_SLOTS
-    return words, counts.pairs.astype(np.float32), counts.first.astype(np.float32)
-
-
-def _loss(model: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray) -> float:
-    share, pairs, first = model
-    total = -np.log(share[words[0]])
-    # Blocks overlap by one word, so that every pair is seen once.
-    for at in range(0, len(words) - 1, BLOCK):
-        own = words[at : at + BLOCK + 1]
-        by_pair = pairs[pair_slots(own)] / np.maximum(first[own[:-1]], 1)
-        # Pairs that share a slot can add up to more than their first word.
-        total -= np.log(MIX[0] * np.minimum(by_pair, 1) + share[own[1:]]).sum()
-    return float(total)
-
-
-# Cells of the three tables as one range of numbers.
-_CELLS = 2 * WORD_SLOTS + PAIR_SLOTS
-
-
-def _cells(text: bytes | None, into: np.ndarray) -> None:
-    words = word_slots(text)
-    for at in range(0, len(words), BLOCK):
-        own = words[at : at + BLOCK + 1]
-        np.add.at(into, own[:BLOCK], 1)
-        if len(own) > 1:
-            np.add.at(into, WORD_SLOTS + own[:-1], 1)
-            np.add.at(into, 2 * WORD_SLOTS + pair_slots(own), 1)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    target = np.zeros(_CELLS, dtype=np.int64)
-    every = np.zeros(_CELLS, dtype=np.int64)
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for text, good in zip(texts, batch.column("target").to_pylist(), strict=True):
-            _cells(text, target if good else every)
-    every += target
-    used = np.flatnonzero(every)
-    for at in range(0, len(used), BLOCK):
-        cell = used[at : at + BLOCK]
-        yield pa.record_batch(
-            [pa.array(cell, pa.int32()), pa.array(target[cell]), pa.array(every[cell])],
-            names=["cell", "target", "every"],
+    def of(hashes: bytes, numbers: bytes, lengths: np.ndarray, targets: np.ndarray) -> Cells:
+        words = np.frombuffer(hashes, np.uint64)
+        number = np.frombuffer(numbers, np.uint32).astype(np.int64)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        good = targets[doc]
+        inside = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+        code = number[inside - 1] * len(words) + number[inside]
+        distinct, which = np.unique(code, return_inverse=True)
+        pair = np.full(len(number), -1)
+        pair[inside] = len(words) + which
+        first, second = (words[i] for i in np.divmod(distinct, max(len(words), 1)))
+        mixed = first * _MIX[0] + second * _MIX[1]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[2]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1)
+        every = np.concatenate((np.bincount(number, minlength=len(words)), np.bincount(which, minlength=len(distinct))))
+        target = np.concatenate(
+            (
+                np.bincount(number[good], minlength=len(words)),
+                np.bincount(which[good[inside]], minlength=len(distinct)),
+            )
         )
-
-
-def train(docs: DataFrame, target: Column) -> Models:
-    """Models of the rows where ``target`` holds, and of all rows.
-
-    The driver gets one row per cell: at most 2 * ``WORD_SLOTS`` + ``PAIR_SLOTS``.
-    """
-    rows = docs.select("text", F.coalesce(target, F.lit(False)).alias("target"))
-    counts = (
-        rows.mapInArrow(_counted, "cell int, target long, every long")
-        .groupBy("cell")
-        .agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+        return Cells(np.concatenate((words, mixed)).view(np.int64), target, every, number, pair, doc)
+
+    def correct(self, cell: np.ndarray, target: np.ndarray, every: np.ndarray) -> None:
+        """Put in the counts of the whole corpus where ``cell`` gives them."""
+        order = np.argsort(cell)
+        cell = cell[order]
+        if not len(cell):
+            return
+        at = np.minimum(np.searchsorted(cell, self.cell), len(cell) - 1)
+        known = cell[at] == self.cell
+        from_ = order[at]
+        self.target = np.where(known, target[from_], self.target)
+        self.every = np.where(known, every[from_], self.every)
+
+    def losses(self, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+        """Loss of every word under the model of ``counts``."""
+        share = counts[self.number] / total if total else np.full(len(self.number), 1 / vocabulary)
+        share = (1 - EQUAL) * share + EQUAL / vocabulary
+        before = np.concatenate(([0], counts[self.number[:-1]]))
+        paired = (self.pair >= 0) & (before > 0)
+        by_pair = np.where(paired, counts[self.pair] / np.maximum(before, 1), share)
+        return -np.log(PAIR * by_pair + (1 - PAIR) * share)
+
+
+def _of(row: dict) -> Cells:
+    return Cells.of(
+        row["hashes"], row["numbers"], np.array(row["lengths"], dtype=np.int64), np.array(row["targets"], dtype=bool)
     )
-    found = {"target": np.zeros(_CELLS), "every": np.zeros(_CELLS)}
-    table = counts.toArrow()
-    cell = table.column("cell").to_numpy()
-    for name, into in found.items():
-        into[cell] = table.column(name).to_numpy()
-    return Models.of(*(_split(found[name]) for name in ("target", "every")))
 
 
-def _split(cells: np.ndarray) -> Counts:
-    words, first, pairs = np.split(cells, [WORD_SLOTS, 2 * WORD_SLOTS])
-    return Counts(words, pairs, first)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, difference`` of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def cells(blocks: DataFrame) -> DataFrame:
+    """``cell, block, target, every``: the counts of every word and pair of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            rows = [shared.value.score(t) for t in texts]
-            n, good, every = zip(*rows, strict=True) if rows else ((), (), ())
-            good, every = np.array(good, dtype=float), np.array(every, dtype=float)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(good), pa.array(every), pa.array(good - every)],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
-            )
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in _BLOCK}
+                own = _of(row)
+                for at in range(0, len(own.cell), _SEND):
+                    part = slice(at, at + _SEND)
+                    block = np.full(len(own.cell[part]), row["block"])
+                    columns = [own.cell[part], block, own.target[part], own.every[part]]
+                    yield pa.record_batch([*map(pa.array, columns)], names=["cell", "block", "target", "every"])
+
+    return blocks.mapInArrow(run, "cell long, block long, target long, every long")
+
+
+def shared_cells(every_cell: DataFrame) -> DataFrame:
+    """``cell, target, every, blocks`` over the corpus, of all words and of the pairs that several blocks have."""
+    sums = every_cell.groupBy("cell").agg(
+        F.sum("target").alias("target"), F.sum("every").alias("every"), F.count(F.lit(1)).alias("blocks")
+    )
+    return sums.where((F.col("blocks") > 1) | (F.col("cell").bitwiseAND(F.lit(1)) == 0))
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(
-        run,
-        "doc_id long, n_words long, target_loss double, background_loss double, difference double",
+def score(docs: DataFrame, target: Column) -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, difference`` of every document.
+
+    ``target``: the documents the target model learns from. All documents make the background.
+    """
+    blocks = stage(pack(docs, target), "lm-blocks")
+    known = stage(shared_cells(cells(blocks)), "lm-counts")
+    is_word = F.col("cell").bitwiseAND(F.lit(1)) == 0
+    sums = known.where(is_word).agg(
+        F.coalesce(F.sum("target"), F.lit(0)).alias("target"),
+        F.coalesce(F.sum("every"), F.lit(0)).alias("every"),
+        F.count(F.lit(1)).alias("words"),
+    ).first()
+    vocabulary = sums.words + 1
+    several = known.where("blocks > 1")
+    # At most one cell for every ASKED_PER_TASK rows of all.
+    hot = several.where(F.col("blocks") > ASKED_PER_TASK).select(
+        "cell", F.ceil(F.col("blocks") / ASKED_PER_TASK).cast("int").alias("_pieces")
     )
+    asked = cells(blocks).select("cell", "block")
+    found = several.select("cell", "target", "every")
+    answers = attach(asked, found, ["cell"], None if hot.isEmpty() else hot, ["block"]).where("every is not null")
+
+    def run(block: pa.Table, answer: pa.Table) -> pa.Table:
+        results = {name: [] for name in ("doc_id", "n_words", "target_loss", "background_loss")}
+        for row in block.to_pylist():
+            own = _of(row)
+            own.correct(*(answer.column(c).to_numpy() for c in ("cell", "target", "every")))
+            lengths = np.array(row["lengths"], dtype=np.int64)
+            results["doc_id"] += row["doc_ids"]
+            results["n_words"] += row["lengths"]
+            models = {"target_loss": (own.target, sums.target), "background_loss": (own.every, sums.every)}
+            for name, (counts, total) in models.items():
+                losses = own.losses(counts, total, vocabulary) if len(own.number) else np.empty(0)
+                summed = np.bincount(own.doc, losses, minlength=len(lengths))
+                results[name] += (summed / np.maximum(lengths, 1)).tolist()
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({n: pa.array(v, k) for (n, v), k in zip(results.items(), kinds, strict=True)})
+
+    schema = "doc_id long, n_words long, target_loss double, background_loss double"
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

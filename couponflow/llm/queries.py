@@ -57,7 +57,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     marked = docs.select("doc_id", "text").join(small_side(good), "doc_id", "left")
-    return lm_scoring.score(docs, lm_scoring.train(marked, F.col("is_target")))
+    return lm_scoring.score(marked, F.col("is_target"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

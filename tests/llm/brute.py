@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -118,3 +119,27 @@ def water_level(sizes, weights, total, epochs):
         clamped |= {s: caps[s] for s in over}
         if len(clamped) == len(sizes):
             return clamped
+
+
+def losses(docs, good, pair_weight, equal):
+    """doc id -> words and mean loss under the models of the ``good`` documents and of all."""
+    split = [(doc, words(lower(text))) for doc, text in docs]
+    vocabulary = len({w for _, found in split for w in found}) + 1
+    singles, doubles = (Counter(), Counter()), (Counter(), Counter())
+    for doc, found in split:
+        for model in (0, 1) if doc in good else (1,):
+            singles[model].update(found)
+            doubles[model].update(zip(found, found[1:], strict=False))
+
+    def loss(model, before, word):
+        total = sum(singles[model].values())
+        share = singles[model][word] / total if total else 1 / vocabulary
+        share = (1 - equal) * share + equal / vocabulary
+        times = singles[model][before]
+        by_pair = doubles[model][before, word] / times if times else share
+        return -math.log(pair_weight * by_pair + (1 - pair_weight) * share)
+
+    def mean(model, found):
+        return sum(loss(model, b, w) for b, w in zip([None, *found], found, strict=False)) / max(len(found), 1)
+
+    return {doc: (len(found), mean(0, found), mean(1, found)) for doc, found in split}

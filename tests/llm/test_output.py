@@ -6,7 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from brute import base_spans, water_level, words
+from brute import base_spans, losses, water_level, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -149,24 +149,33 @@ def test_token_files_awkward_rows(spark, awkward, no_docs, monkeypatch):
 def test_lm_scores(spark, awkward, no_docs):
     rows = [(i, "red green blue " * 30 if i % 2 else "one two three " * 30) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    scored = lm_scoring.score(docs, lm_scoring.train(docs, F.col("doc_id") % 2 == 1)).collect()
+    scored = lm_scoring.score(docs, F.col("doc_id") % 2 == 1).collect()
     assert all((r.difference < 0) == (r.doc_id % 2 == 1) for r in scored)
     assert all(r.n_words == 90 for r in scored)
-    models = lm_scoring.train(awkward, F.col("lang") == "fr")
-    assert lm_scoring.score(awkward, models).count() == awkward.count()
-    assert models.score(None) == models.score(b" \n") == (0, 0.0, 0.0)
-    assert lm_scoring.train(no_docs, F.lit(True)).score(b"a b")[0] == 2
-
-
-def test_lm_counts_every_word(monkeypatch):
-    text = " ".join(f"w{i % 50}" for i in range(500)).encode()
-    whole = np.zeros(lm_scoring._CELLS, dtype=np.int64)
-    lm_scoring._cells(text, whole)
-    assert whole.sum() == 500 + 499 + 499
-    monkeypatch.setattr(lm_scoring, "BLOCK", 7)
-    again = np.zeros_like(whole)
-    lm_scoring._cells(text, again)
-    assert (whole == again).all()
+    found = lm_scoring.score(awkward, F.col("lang") == "fr").collect()
+    counts = [(d, len(words(t))) for d, t in pairs(awkward, "doc_id", "text")]
+    assert sorted(str((r.doc_id, r.n_words)) for r in found) == sorted(map(str, counts))
+    assert all(r.target_loss == r.background_loss == 0 for r in found if not r.n_words)
+    assert lm_scoring.score(no_docs, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize(("block", "asked"), [(1 << 20, 1_000_000), (400, 2)])
+def test_lm_scores_against_plain_counts(spark, tables, monkeypatch, block, asked):
+    """Exact counts, with documents in one block or in many, and cells spread over tasks."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, " "), (-3, "one"), (-4, "never-seen-before"), (None, "one one One")]
+    docs = docs.where("doc_id < 60").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = pairs(docs, "doc_id", "text")
+    for target in (F.col("doc_id") % 3 == 1, F.lit(None).cast("boolean")):
+        good = {r.doc_id for r in docs.where(target).collect()}
+        expected = losses(rows, good, lm_scoring.PAIR, lm_scoring.EQUAL)
+        monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
+        monkeypatch.setattr(lm_scoring, "ASKED_PER_TASK", asked)
+        found = lm_scoring.score(docs.repartition(4), target).collect()
+        got = {r.doc_id: (r.n_words, r.target_loss, r.background_loss, r.difference) for r in found}
+        assert len(found) == len(rows) and set(got) == set(expected)
+        for doc, (n, of_target, of_all) in expected.items():
+            assert got[doc] == pytest.approx((n, of_target, of_all, of_target - of_all), abs=1e-9)
 
 
 def test_page_text(spark, tables):
