@@ -7,12 +7,15 @@ so are never collected or broadcast.
 
 1. Blocks. Each task packs its documents into blocks of about ``BLOCK_WORDS`` words: the block's
    distinct words as 64-bit hashes, and each document as numbers into them. A document is never split.
-2. Count. A block sends one row per distinct word or pair (a cell) with its own counts, and Spark adds these up.
-   A cell that only one block has is not kept: that block knows the whole count itself.
-3. Answer. Blocks ask for the cells they share with others; a cell that more blocks than one task should take
-   ask for is spread over several tasks.
+2. Ask. A block's distinct words and pairs (its cells) with their counts, sorted by hash, are cut at the borders
+   of equal hash ranges. There is one range for every ``RANGE_WORDS`` words of the corpus.
+3. Count. Each range adds up the counts of its cells and answers every block, in the order in which it asked.
+   A cell is in a range at most once for a block, however often it occurs: a word that is everywhere has
+   16 million entries (some hundred MB) for 100 TB of text.
 4. Score. A block meets its answers, which are bounded by its own words, and scores its documents in numpy.
 
+Sorted hashes are sent as differences, and all numbers as planes of bytes, compressed.
+
 A word has the loss -log(PAIR * pair share + (1 - PAIR) * word share). The pair share is the part of the first
 word's occurrences that this word follows; it is left out (PAIR = 0) for the first word of a document and
 after a word the model has never seen. The word share is (1 - EQUAL) * part of all words + EQUAL / size
@@ -34,37 +37,51 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from couponflow.operators.spread import attach
 from couponflow.session import stage
 
 #: Weight of the pair's share, and of the equal share inside the word's share.
 PAIR = 0.5
 EQUAL = 0.1
 BLOCK_WORDS = 1 << 20
-#: Blocks asking for one cell that a single task takes.
-ASKED_PER_TASK = 1_000_000
-_SEND = 1 << 18
+RANGE_WORDS = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
 _BLOCK = {
     "block": pa.int64(),
+    "size": pa.int64(),
+    "target_size": pa.int64(),
     "doc_ids": pa.list_(pa.int64()),
-    "lengths": pa.list_(pa.int32()),
+    "lengths": pa.list_(pa.int64()),
     "targets": pa.list_(pa.bool_()),
     "hashes": pa.binary(),
     "numbers": pa.binary(),
 }
 _BLOCK_SCHEMA = (
-    "block long, doc_ids array<long>, lengths array<int>, targets array<boolean>, hashes binary, numbers binary"
+    "block long, size long, target_size long, doc_ids array<long>, lengths array<long>, targets array<boolean>, "
+    "hashes binary, numbers binary"
 )
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack(docs: DataFrame, target: Column) -> DataFrame:
-    """Blocks of documents (see ``_BLOCK_SCHEMA``): lengths and targets per document, the numbers of all."""
+    """Blocks of documents (see ``_BLOCK_SCHEMA``): lengths and targets per document, the numbers of all.
+
+    ``size`` and ``target_size``: words of the block, and of its target documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -75,20 +92,22 @@ def pack(docs: DataFrame, target: Column) -> DataFrame:
         def packed() -> pa.RecordBatch:
             # Words have even hashes, pairs odd ones.
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)) & ~np.uint64(1)
-            row = (block, ids, lengths, targets, hashes.tobytes(), b"".join(numbers))
+            good = sum(n for n, is_target in zip(lengths, targets, strict=True) if is_target)
+            number = _planes(np.concatenate(numbers))
+            row = (block, sum(lengths), good, ids, lengths, targets, hashes.tobytes(), number)
             columns = [pa.array([v], k) for v, k in zip(row, _BLOCK.values(), strict=True)]
             return pa.record_batch(columns, names=[*_BLOCK])
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = batch.column("text").cast(pa.binary())
             rows = zip(batch.column("doc_id").to_pylist(), texts, batch.column("target").to_pylist(), strict=True)
             for doc_id, text, is_target in rows:
-                found = text.lower().split() if text else []
+                found = (text.as_py() or b"").lower().split()
                 own = np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found))
                 ids.append(doc_id)
                 lengths.append(len(found))
                 targets.append(is_target)
-                numbers.append(own.tobytes())
+                numbers.append(own)
                 # Documents without words take room, too.
                 size += len(found) + 1
                 if size >= BLOCK_WORDS:
@@ -110,7 +129,7 @@ class Cells:
 
     ``cell``, ``target`` and ``every`` list the words by number, then the distinct pairs; ``number`` is the
     word at each place of the block, ``pair`` the cell of the pair that ends there (-1 at the start of a
-    document), ``doc`` the document it is in.
+    document), ``doc`` the document it is in, ``order`` sorts the cells.
     """
 
     cell: np.ndarray
@@ -119,45 +138,34 @@ class Cells:
     number: np.ndarray
     pair: np.ndarray
     doc: np.ndarray
+    order: np.ndarray
 
     @staticmethod
-    def of(hashes: bytes, numbers: bytes, lengths: np.ndarray, targets: np.ndarray) -> Cells:
-        words = np.frombuffer(hashes, np.uint64)
-        number = np.frombuffer(numbers, np.uint32).astype(np.int64)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        good = targets[doc]
+    def of(row: dict) -> Cells:
+        words = np.frombuffer(row["hashes"], np.uint64)
+        number = _unplaned(row["numbers"], np.uint32)
+        doc = np.repeat(np.arange(len(row["lengths"]), dtype=np.uint32), row["lengths"])
+        good = np.array(row["targets"], dtype=bool)[doc]
         inside = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-        code = number[inside - 1] * len(words) + number[inside]
+        code = number[inside - 1] * np.int64(len(words)) + number[inside]
         distinct, which = np.unique(code, return_inverse=True)
-        pair = np.full(len(number), -1)
+        del code
+        pair = np.full(len(number), -1, dtype=np.int32)
         pair[inside] = len(words) + which
         first, second = (words[i] for i in np.divmod(distinct, max(len(words), 1)))
         mixed = first * _MIX[0] + second * _MIX[1]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[2]
         mixed = (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1)
-        every = np.concatenate((np.bincount(number, minlength=len(words)), np.bincount(which, minlength=len(distinct))))
-        target = np.concatenate(
-            (
-                np.bincount(number[good], minlength=len(words)),
-                np.bincount(which[good[inside]], minlength=len(distinct)),
-            )
-        )
-        return Cells(np.concatenate((words, mixed)).view(np.int64), target, every, number, pair, doc)
-
-    def correct(self, cell: np.ndarray, target: np.ndarray, every: np.ndarray) -> None:
-        """Put in the counts of the whole corpus where ``cell`` gives them."""
-        order = np.argsort(cell)
-        cell = cell[order]
-        if not len(cell):
-            return
-        at = np.minimum(np.searchsorted(cell, self.cell), len(cell) - 1)
-        known = cell[at] == self.cell
-        from_ = order[at]
-        self.target = np.where(known, target[from_], self.target)
-        self.every = np.where(known, every[from_], self.every)
+        sizes = len(words), len(distinct)
+        every = np.bincount(number, minlength=sizes[0]), np.bincount(which, minlength=sizes[1])
+        of_target = number[good], which[good[inside]]
+        target = [np.bincount(v, minlength=n) for v, n in zip(of_target, sizes, strict=True)]
+        cell = np.concatenate((words, mixed))
+        counts = (np.concatenate(v).astype(np.int64) for v in (target, every))
+        return Cells(cell, *counts, number, pair, doc, np.argsort(cell, kind="stable"))
 
     def losses(self, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-        """Loss of every word under the model of ``counts``."""
+        """Loss of every word under the model of ``counts``, one for each cell."""
         share = counts[self.number] / total if total else np.full(len(self.number), 1 / vocabulary)
         share = (1 - EQUAL) * share + EQUAL / vocabulary
         before = np.concatenate(([0], counts[self.number[:-1]]))
@@ -166,35 +174,45 @@ class Cells:
         return -np.log(PAIR * by_pair + (1 - PAIR) * share)
 
 
-def _of(row: dict) -> Cells:
-    return Cells.of(
-        row["hashes"], row["numbers"], np.array(row["lengths"], dtype=np.int64), np.array(row["targets"], dtype=bool)
-    )
-
-
-def cells(blocks: DataFrame) -> DataFrame:
-    """``cell, block, target, every``: the counts of every word and pair of every block."""
+def ask(blocks: DataFrame, ranges: int) -> DataFrame:
+    """``range, block, cells, target, every``: cells of a block in a hash range, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in _BLOCK}
-                own = _of(row)
-                for at in range(0, len(own.cell), _SEND):
-                    part = slice(at, at + _SEND)
-                    block = np.full(len(own.cell[part]), row["block"])
-                    columns = [own.cell[part], block, own.target[part], own.every[part]]
-                    yield pa.record_batch([*map(pa.array, columns)], names=["cell", "block", "target", "every"])
-
-    return blocks.mapInArrow(run, "cell long, block long, target long, every long")
-
-
-def shared_cells(every_cell: DataFrame) -> DataFrame:
-    """``cell, target, every, blocks`` over the corpus, of all words and of the pairs that several blocks have."""
-    sums = every_cell.groupBy("cell").agg(
-        F.sum("target").alias("target"), F.sum("every").alias("every"), F.count(F.lit(1)).alias("blocks")
-    )
-    return sums.where((F.col("blocks") > 1) | (F.col("cell").bitwiseAND(F.lit(1)) == 0))
+                own = Cells.of({name: batch.column(name)[i].as_py() for name in _BLOCK})
+                cell, target, every = (v[own.order] for v in (own.cell, own.target, own.every))
+                place = (cell >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                used, starts = np.unique(place, return_index=True)
+                ends = np.append(starts, len(cell))[1:]
+                block = batch.column("block")[i].as_py()
+                for number, at, end in zip(used.tolist(), starts, ends, strict=True):
+                    steps = np.diff(cell[at:end], prepend=np.uint64(0))
+                    parts = [_planes(v) for v in (steps, target[at:end], every[at:end])]
+                    row = [[number], [block], *([p] for p in parts)]
+                    yield pa.record_batch(row, names=["range", "block", "cells", "target", "every"])
+
+    return blocks.mapInArrow(run, "range long, block long, cells binary, target binary, every binary")
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Counts of the whole corpus for the cells each block asked for, and the range's words (in one row)."""
+    cells = [np.cumsum(_unplaned(c, np.uint64), dtype=np.uint64) for c in asked.column("cells").to_pylist()]
+    ends = np.cumsum([len(c) for c in cells])
+    distinct, which = np.unique(np.concatenate(cells), return_inverse=True)
+    # Words have even hashes.
+    n_words = int((distinct & np.uint64(1) == 0).sum())
+    table = {
+        "block": asked.column("block"),
+        "range": asked.column("range"),
+        "n_words": pa.array([n_words] + [0] * (len(cells) - 1), pa.int64()),
+    }
+    for name in ("target", "every"):
+        own = np.concatenate([_unplaned(c, np.int64) for c in asked.column(name).to_pylist()])
+        total = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(total, which, own)
+        table[name] = pa.array([_planes(v) for v in np.split(total[which], ends[:-1])], pa.binary())
+    return pa.table(table)
 
 
 def score(docs: DataFrame, target: Column) -> DataFrame:
@@ -203,39 +221,36 @@ def score(docs: DataFrame, target: Column) -> DataFrame:
     ``target``: the documents the target model learns from. All documents make the background.
     """
     blocks = stage(pack(docs, target), "lm-blocks")
-    known = stage(shared_cells(cells(blocks)), "lm-counts")
-    is_word = F.col("cell").bitwiseAND(F.lit(1)) == 0
-    sums = known.where(is_word).agg(
-        F.coalesce(F.sum("target"), F.lit(0)).alias("target"),
-        F.coalesce(F.sum("every"), F.lit(0)).alias("every"),
-        F.count(F.lit(1)).alias("words"),
+    of_target, of_all = blocks.agg(
+        F.coalesce(F.sum("target_size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))
     ).first()
-    vocabulary = sums.words + 1
-    several = known.where("blocks > 1")
-    # At most one cell for every ASKED_PER_TASK rows of all.
-    hot = several.where(F.col("blocks") > ASKED_PER_TASK).select(
-        "cell", F.ceil(F.col("blocks") / ASKED_PER_TASK).cast("int").alias("_pieces")
+    ranges = -(-of_all // RANGE_WORDS) or 1
+    answers = ask(blocks, ranges).groupBy("range").applyInArrow(
+        _answer, "block long, range long, n_words long, target binary, every binary"
     )
-    asked = cells(blocks).select("cell", "block")
-    found = several.select("cell", "target", "every")
-    answers = attach(asked, found, ["cell"], None if hot.isEmpty() else hot, ["block"]).where("every is not null")
+    answers = stage(answers, "lm-answers")
+    vocabulary = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] + 1
 
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
         results = {name: [] for name in ("doc_id", "n_words", "target_loss", "background_loss")}
+        answer = answer.sort_by("range")
         for row in block.to_pylist():
-            own = _of(row)
-            own.correct(*(answer.column(c).to_numpy() for c in ("cell", "target", "every")))
-            lengths = np.array(row["lengths"], dtype=np.int64)
+            own = Cells.of(row)
             results["doc_id"] += row["doc_ids"]
             results["n_words"] += row["lengths"]
-            models = {"target_loss": (own.target, sums.target), "background_loss": (own.every, sums.every)}
-            for name, (counts, total) in models.items():
+            for name, total in (("target", of_target), ("every", of_all)):
+                counts = np.zeros(len(own.cell), dtype=np.int64)
+                if len(own.cell):
+                    known = [_unplaned(c, np.int64) for c in answer.column(name).to_pylist()]
+                    counts[own.order] = np.concatenate(known)
                 losses = own.losses(counts, total, vocabulary) if len(own.number) else np.empty(0)
-                summed = np.bincount(own.doc, losses, minlength=len(lengths))
-                results[name] += (summed / np.maximum(lengths, 1)).tolist()
+                mean = np.bincount(own.doc, losses, minlength=len(row["lengths"])) / np.maximum(row["lengths"], 1)
+                results["target_loss" if name == "target" else "background_loss"] += mean.tolist()
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(results.items(), kinds, strict=True)})
 
     schema = "doc_id long, n_words long, target_loss double, background_loss double"
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    needed = blocks.select("block", "doc_ids", "lengths", "targets", "hashes", "numbers")
+    known = answers.select("block", "range", "target", "every")
+    scored = needed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -159,9 +159,9 @@ def test_lm_scores(spark, awkward, no_docs):
     assert lm_scoring.score(no_docs, F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize(("block", "asked"), [(1 << 20, 1_000_000), (400, 2)])
-def test_lm_scores_against_plain_counts(spark, tables, monkeypatch, block, asked):
-    """Exact counts, with documents in one block or in many, and cells spread over tasks."""
+@pytest.mark.parametrize(("block", "ranged"), [(1 << 22, 1 << 22), (400, 900)])
+def test_lm_scores_against_plain_counts(spark, tables, monkeypatch, block, ranged):
+    """Exact counts, with documents in one block or in many, cells in one range or in many."""
     docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
     odd = [(-1, None), (-2, " "), (-3, "one"), (-4, "never-seen-before"), (None, "one one One")]
     docs = docs.where("doc_id < 60").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
@@ -170,7 +170,7 @@ def test_lm_scores_against_plain_counts(spark, tables, monkeypatch, block, asked
         good = {r.doc_id for r in docs.where(target).collect()}
         expected = losses(rows, good, lm_scoring.PAIR, lm_scoring.EQUAL)
         monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
-        monkeypatch.setattr(lm_scoring, "ASKED_PER_TASK", asked)
+        monkeypatch.setattr(lm_scoring, "RANGE_WORDS", ranged)
         found = lm_scoring.score(docs.repartition(4), target).collect()
         got = {r.doc_id: (r.n_words, r.target_loss, r.background_loss, r.difference) for r in found}
         assert len(found) == len(rows) and set(got) == set(expected)
