@@ -80,6 +80,14 @@ def test_surrogates(spark, no_docs, awkward):
     assert pii.report(no_docs).count() == 0
 
 
+def test_surrogates_in_very_long_texts(spark):
+    """Long runs of nearly matching text neither exhaust the matcher nor hide what follows."""
+    runs = ["x@" + "a." * 30_000 + "2", "1234 " * 20_001, "1.2.3." * 20_000, "Mr " + "A" * 50_000 + "1", "a" * 50_000]
+    docs = spark.createDataFrame([(i, f"{t} | bo@mail.co") for i, t in enumerate(runs)], "doc_id long, text string")
+    for r in pii.report(docs).collect():
+        assert r.n_entities >= 1 and not r.text.endswith(" bo@mail.co")
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     """More entities than a small space holds without collisions."""
     monkeypatch.setattr(pii, "_drawn", lambda key: (pii._number(key, 0, 3000) + 1000).cast("string"))
