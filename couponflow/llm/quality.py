@@ -9,7 +9,8 @@ the driver on at most ``FIT_ROWS`` labelled rows (those with the smallest hash o
 bound is the only sample here.
 
 Cases: a null or empty text has all counts 0 and fails the base rule; texts of any length are read
-whole; ties in the sample are broken by ``doc_id``; equal rows get equal rows; with no labelled rows, or
+whole; ties in the sample are broken by ``doc_id``, and documents with one id count as the one with the
+smallest statistics; equal rows get equal rows; with no labelled rows, or
 labels of one class only, the model keeps what passes the base rule. Extra columns are ignored by
 :func:`score` and kept by :func:`keep`.
 """
@@ -265,7 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **settin
     # Bounded by ``fit_rows``.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     found = rows.mapInArrow(_features, "doc_id long, features array<double>, good int")
-    sample = found.toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    # One row an id, however many documents share it.
+    found = found.groupBy("doc_id").agg(F.min("features").alias("features"), F.max("good").alias("good"))
+    sample = found.toPandas().sort_values("doc_id", ignore_index=True)
     if sample.empty:
         return None
     return fit(np.array(sample["features"].tolist(), dtype=float), sample["good"].to_numpy(float), **settings)

@@ -44,6 +44,12 @@ def test_quality_awkward_rows(awkward, no_docs, spark):
     assert quality.train(awkward, labels) is None
 
 
+def test_quality_repeated_ids_count_once(spark, tables, docs):
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    once, twice = (quality.train(d, labels) for d in (docs, docs.unionByName(docs)))
+    assert np.array_equal(once.threshold, twice.threshold) and np.array_equal(once.value, twice.value)
+
+
 def test_trees_are_monotonic_and_learn():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
