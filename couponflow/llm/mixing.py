@@ -29,8 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 17
-#: Hash ranges per source. Hex digits of the hash that name the range: 16 ** 4.
-RANGE_DIGITS = 4
+#: Hash ranges per source. Hex digits of the hash that name the range: 16 ** 3.
+RANGE_DIGITS = 3
 
 
 def draw(doc_id: Column | str, seed: int) -> Column:
