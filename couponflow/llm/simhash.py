@@ -21,7 +21,7 @@ other; an empty table gives no rows. Extra columns are ignored by :func:`duplica
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +43,32 @@ COUNT_BLOCK = 1 << 15
 COMPARE_BLOCK = 256
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned fingerprint of a text."""
+def shingle_hashes(text: str | None, length: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of each run of ``length`` words, in order, a block at a time; none for a wordless text."""
     found = text.encode().lower().split() if text else []
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
-    if len(found) <= SHINGLE:
+    if len(found) <= length:
         starts, ends = [0], [len(joined)]
     else:
         blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = [0, *(blanks[: 1 - SHINGLE] + 1).tolist()]
-        ends = [*blanks[SHINGLE - 1 :].tolist(), len(joined)]
+        starts = [0, *(blanks[: len(blanks) + 1 - length] + 1).tolist()]
+        ends = [*blanks[length - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), COUNT_BLOCK):
         pieces = zip(starts[at : at + COUNT_BLOCK], ends[at : at + COUNT_BLOCK], strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pieces], dtype="<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in pieces], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned fingerprint of a text."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text):
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int64)
-    over_half = 2 * ones > len(starts)
+        n += len(hashes)
+    over_half = 2 * ones > n
     return int(np.packbits(over_half, bitorder="little").view("<u8")[0])
 
 
@@ -219,19 +225,31 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id.
+def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], node: str) -> DataFrame:
+    """The document with the smallest id of each group, with all its columns.
 
     Among rows with that id the one with the smallest row hash stays, and equal rows stay once.
+    ``groups_of`` takes the documents with ``_id`` and ``_row`` and returns a table with ``doc_id``, ``_id``,
+    ``_row`` and ``node`` of each, and one with ``node`` and ``group``.
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.withColumns({"_row": row_hash, "_id": F.coalesce("doc_id", F.lit(0)).cast("long")})
-    rows = stage(fingerprints(marked, "_id", "_row"), "simhash")
+    rows, found = groups_of(marked)
     # Null ids last.
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "_id", "_row")
-    by_fp = rows.groupBy("fp").agg(F.min(rank).alias("first"))
-    chosen = groups(rows, radius).join(by_fp, "fp").groupBy("group").agg(F.min("first").alias("first"))
-    chosen = stage(chosen.select("first._id", "first._row"), "simhash-kept")
+    by_node = rows.groupBy(node).agg(F.min(rank).alias("first"))
+    chosen = found.join(by_node, node).groupBy("group").agg(F.min("first").alias("first"))
+    chosen = stage(chosen.select("first._id", "first._row"), "kept-documents")
     # The join leaves equal rows together, so that dropping repeats moves nothing again.
     kept = marked.join(chosen, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
     return kept.select(*[docs[c] for c in docs.columns])
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component of links (see :func:`one_of_each`)."""
+
+    def found(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = stage(fingerprints(marked, "_id", "_row"), "simhash")
+        return rows, groups(rows, radius)
+
+    return one_of_each(docs, found, "fp")
