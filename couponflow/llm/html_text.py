@@ -2,7 +2,9 @@
 
 A page is cut at block tags into flat runs of text. Each block has its word count and link density, those
 of the blocks before and after it, and whether its containers are named like the frame of a page (menus,
-sidebars, forms, ...) or like its content. A small decision tree over these, trained on the labelled
+sidebars, forms, ...) or like its content. A compound name of a layout or a state (``has-header``) says nothing, an
+article or content container takes back what the names of wrappers around it say, and a form with parts of a page in
+it is a wrapper, too. A small decision tree over these, trained on the labelled
 table below, tells content from the rest.
 
 Cases: a null or empty page has an empty text; broken markup (unclosed tags, comments or quotes) is read to
@@ -30,7 +32,7 @@ INLINE = frozenset(
 )
 SKIPPED = frozenset("script style head noscript template iframe object svg math select textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FRAME_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
+FRAME_TAGS = frozenset("nav footer aside menu dialog button label fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 #: Words in a class, id or role that name a part of the frame of a page.
 FRAME_WORDS = frozenset(
@@ -42,6 +44,13 @@ FRAME_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 ARTICLE_HEADER = frozenset("header".split())
+#: Words that make a name one of a layout, a state or a topic, not of a part of the page.
+STATE_WORDS = frozenset(
+    "has no not with without is category tag topic fixed sticky enabled disabled active open closed".split()
+)
+WRAP_WORDS = frozenset("wrap wrapper container layout".split())
+#: Elements that a form around a whole page has and one to fill in has not.
+PAGE_PARTS = frozenset("article main nav header footer h1 h2".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -49,7 +58,7 @@ _TOKEN = re.compile(
     r"|([^<]+|<)",
     re.DOTALL,
 )
-_NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -191,30 +200,54 @@ class Block:
     content: bool
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is named like the frame or like the content of a page."""
-    frame, content = tag in FRAME_TAGS, tag in CONTENT_TAGS
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is named like the frame or like the content of a page, and is a container of the content."""
+    named = content = holds = False
     for match in _NAME.finditer(attributes) if attributes else ():
-        parts = {p.lower() for p in _PART.findall(next(filter(None, match.groups()), ""))}
-        frame = frame or bool(parts & FRAME_WORDS) and tag not in ("html", "body", "article", "main")
-        content = content or bool(parts & CONTENT_WORDS)
-    return frame, content and not frame
+        attribute, *values = match.groups()
+        for name in next(filter(None, values), "").split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            layout = parts & STATE_WORDS or parts & CONTENT_WORDS and parts & WRAP_WORDS
+            named = named or bool(parts & FRAME_WORDS) and not layout
+            content = content or bool(parts & CONTENT_WORDS) and not layout
+            whole = bool(parts) and parts <= CONTENT_WORDS
+            holds = holds or whole and (attribute.lower() in ("id", "role") or len(parts) > 1)
+    if tag in CONTENT_TAGS:
+        return False, True, not named
+    frame = named and tag not in ("html", "body")
+    return frame, content and not frame, holds and not named
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order; blocks without text are left out."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    frames = contents = links = 0
+    # Of each open element: the tag, and what it adds to the counts below. An element that holds the content takes
+    # away what names of wrappers around it have added to ``named``.
+    open_tags: list[tuple[str, int, int, int]] = []
+    frames = named = contents = links = 0
+    # Of each open form: its place among the open elements, its first block, and whether it has parts of a page.
+    forms: list[list[int]] = []
 
     def close_block() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
         if text:
             linked = sum(len(p.split()) for p, link in pieces if link)
-            found.append(Block(text, len(text.split()), linked, frames > 0, contents > 0))
+            found.append(Block(text, len(text.split()), linked, frames + named > 0, contents > 0))
         pieces.clear()
 
+    def close(place: int) -> None:
+        nonlocal frames, named, contents
+        for _, frame, name, content in open_tags[place:]:
+            frames -= frame
+            named -= name
+            contents -= content
+        del open_tags[place:]
+        while forms and forms[-1][0] >= place:
+            _, first, page_parts = forms.pop()
+            for block in found[first:] if not page_parts else ():
+                block.frame = True
+
     at = 0
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -237,10 +270,7 @@ def blocks(page: str) -> list[Block]:
                 close_block()
             places = [i for i, o in enumerate(open_tags) if o[0] == tag]
             if places:
-                for _, frame, content in open_tags[places[-1] :]:
-                    frames -= frame
-                    contents -= content
-                del open_tags[places[-1] :]
+                close(places[-1])
             continue
         if tag in SKIPPED:
             if tag not in INLINE:
@@ -259,14 +289,22 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag == "p" and open_tags and open_tags[-1][0] == "p":
-            open_tags.pop()  # paragraphs do not nest
-        frame, content = _kind(tag, attributes)
+            close(len(open_tags) - 1)  # paragraphs do not nest
+        name, content, holds = _kind(tag, attributes)
         if tag in ARTICLE_HEADER and not contents:
-            frame, content = True, False
-        open_tags.append((tag, frame, content))
-        frames += frame
+            name, content, holds = True, False, False
+        if holds or tag in PAGE_PARTS:
+            for form in forms:
+                form[2] = True
+        if tag == "form":
+            forms.append([len(open_tags), len(found), False])
+        added = -named if holds else int(name)
+        open_tags.append((tag, int(tag in FRAME_TAGS), added, int(content)))
+        frames += tag in FRAME_TAGS
+        named += added
         contents += content
     close_block()
+    close(0)
     return found
 
 
