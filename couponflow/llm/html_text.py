@@ -128,6 +128,33 @@ LABELLED = """
 5 0.0 40 0.0 2 1.0 0 0 0
 2 0.0 3 0.5 1 1.0 0 0 0
 8 0.0 0 0.0 4 1.0 0 0 0
+30 0.0 9 0.0 2 1.0 0 1 1
+45 0.0 40 0.0 5 1.0 0 1 1
+6 0.0 30 0.0 1 1.0 0 1 1
+20 0.0 1 1.0 1 1.0 0 1 1
+8 0.0 2 1.0 30 0.0 0 1 1
+60 0.1 3 1.0 4 1.0 0 1 1
+90 0.0 60 0.0 3 0.9 0 1 1
+3 1.0 30 0.0 3 1.0 0 1 1
+2 1.0 3 1.0 2 1.0 0 1 1
+4 1.0 4 1.0 25 0.0 0 1 1
+12 0.9 40 0.0 6 1.0 0 1 1
+40 0.0 6 0.0 3 1.0 0 0 1
+25 0.0 60 0.0 2 1.0 0 0 1
+18 0.0 75 0.0 4 1.0 0 0 1
+55 0.1 2 1.0 2 1.0 0 0 1
+30 0.0 1 1.0 45 0.0 0 0 1
+85 0.0 70 0.0 4 1.0 0 0 1
+75 0.0 3 1.0 90 0.0 0 0 1
+9 0.0 5 1.0 4 1.0 0 0 0
+4 0.0 60 0.0 3 1.0 0 0 0
+6 0.0 90 0.0 1 1.0 0 0 0
+3 1.0 60 0.0 4 1.0 0 0 0
+6 1.0 80 0.0 0 0.0 0 0 0
+20 0.0 60 0.0 50 0.0 1 0 0
+70 0.0 2 1.0 3 1.0 1 0 0
+12 0.0 45 0.0 3 1.0 1 1 0
+40 0.0 55 0.0 2 1.0 1 1 0
 """
 
 

@@ -46,3 +46,20 @@ def test_wrappers_keep_the_article(start, end):
 def test_frames_stay_frames(start, end):
     found = text(f"<article><p>{LONG}</p></article>{start}<p>Some words {LONG[:90]} of the frame</p>{end}")
     assert found == LONG
+
+
+@pytest.mark.parametrize("words", [20, 30, 60, 90])
+def test_blocks_beside_link_lists_are_kept(words):
+    block = " ".join(f"w{i}" for i in range(words))
+    links = "<ul><li><a href=/1>First other page</a></li><li><a href=/2>Second page</a></li></ul>"
+    article = f"<p>{LONG}</p><p>{block}</p>"
+    assert text(f"<article>{article}</article><aside>{links}</aside>") == f"{LONG} {block}"
+    kept = text(f"<div>{article}{links}<p>{block} after</p></div>")
+    assert LONG in kept and f"{block} " in kept and f"{block} after" in kept
+    kept = text(f"<article><h2>Part two</h2>{links}<p>{block}</p><p><a href=/3>see there</a></p></article>")
+    assert kept == f"Part two First other page Second page {block} see there"
+
+
+def test_link_lists_outside_the_article_are_dropped():
+    links = "<ul><li><a href=/1>First other page</a></li><li><a href=/2>Second page</a></li></ul>"
+    assert text(f"<article><p>{LONG}</p></article><div>{links}</div>") == LONG
