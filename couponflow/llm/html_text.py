@@ -28,9 +28,18 @@ from pyspark.sql import functions as F
 # Names of HTML elements.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr img svg path input".split()
+    "span strike strong sub sup time tt u var wbr img svg path input math mrow mi mn mo mtext ms mspace msup "
+    "msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mtable mtr mtd semantics annotation".split()
+)
+#: Skipped as they stand, up to their closing tag or the end of the page.
+RAW = frozenset("script style iframe textarea title".split())
+#: Skipped with all inside, at most up to the end of their parent.
+SKIPPED = frozenset("noscript template object svg select annotation".split())
+#: Elements that end an svg, and other skipped elements that are never closed.
+STARTS = frozenset(
+    "address article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
+    "section table ul".split()
 )
-SKIPPED = frozenset("script style head noscript template iframe object svg math select textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME_TAGS = frozenset("nav footer aside menu dialog button label fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -60,6 +69,7 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 FEATURES = (
@@ -255,13 +265,20 @@ def blocks(page: str) -> list[Block]:
     frames = named = contents = links = 0
     # Of each open form: its place among the open elements, its first block, and whether it has parts of a page.
     forms: list[list[int]] = []
+    # Places of the skipped elements among the open ones; the last closing tag of each of their names.
+    skipped: list[int] = []
+    last_close: dict[str, int] = {}
+    loose = False  # the link at hand is never closed
 
     def close_block() -> None:
+        nonlocal links, loose
         text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
         if text:
             linked = sum(len(p.split()) for p, link in pieces if link)
             found.append(Block(text, len(text.split()), linked, frames + named > 0, contents > 0))
         pieces.clear()
+        if loose:
+            links, loose = 0, False
 
     def close(place: int) -> None:
         nonlocal frames, named, contents
@@ -270,6 +287,8 @@ def blocks(page: str) -> list[Block]:
             named -= name
             contents -= content
         del open_tags[place:]
+        while skipped and skipped[-1] >= place:
+            skipped.pop()
         while forms and forms[-1][0] >= place:
             _, first, page_parts = forms.pop()
             for block in found[first:] if not page_parts else ():
@@ -279,27 +298,29 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         match = _TOKEN.match(page, at)
         if match is None:  # a tag with an open quote: its name alone is skipped
-            pieces.append((page[at], links > 0))
+            if not skipped:
+                pieces.append((page[at], links > 0))
             at += 1
             continue
         at = match.end()
         closing, tag, attributes, text = match.groups()
         if text is not None:
-            pieces.append((text, links > 0))
+            if not skipped:
+                pieces.append((text, links > 0))
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if closing:
             if tag == "a":
-                links = 0
+                links, loose = 0, False
             if tag not in INLINE:
                 close_block()
             places = [i for i, o in enumerate(open_tags) if o[0] == tag]
             if places:
                 close(places[-1])
             continue
-        if tag in SKIPPED:
+        if tag in RAW or tag == "head":
             if tag not in INLINE:
                 close_block()
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -308,8 +329,24 @@ def blocks(page: str) -> list[Block]:
             elif tag != "head":  # an open head has nothing but its own elements to skip
                 at = len(page)
             continue
+        if skipped and tag in STARTS:
+            first = open_tags[skipped[0]][0]
+            if first == "svg" or last_close[first] < at:
+                close(skipped[0])
+        if tag in SKIPPED:
+            if tag not in INLINE:
+                close_block()
+            if tag == "svg" and attributes.rstrip().endswith("/"):
+                continue
+            if tag not in last_close:
+                closing_tags = re.finditer(rf"</{tag}\b", page, re.IGNORECASE)
+                last_close[tag] = max((m.start() for m in closing_tags), default=-1)
+            skipped.append(len(open_tags))
+            open_tags.append((tag, 0, 0, 0))
+            continue
         if tag == "a":
-            links = 1
+            after = _NEXT_LINK.search(page, at)
+            links, loose = int("href" in attributes.lower()), after is None or not after.group(1)
         if tag in INLINE:
             continue
         close_block()

@@ -63,3 +63,33 @@ def test_blocks_beside_link_lists_are_kept(words):
 def test_link_lists_outside_the_article_are_dropped():
     links = "<ul><li><a href=/1>First other page</a></li><li><a href=/2>Second page</a></li></ul>"
     assert text(f"<article><p>{LONG}</p></article><div>{links}</div>") == LONG
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<svg viewBox='0 0 1 1'/>",
+        "<svg><path d='M0'/><text>drawn</text></svg>",
+        "<svg viewBox='0 0 1 1'><path d='M0'>",
+        "<div><select><option>drawn<option>drawn</div>",
+        "<div><object data=x>drawn</div>",
+        "<noscript>drawn",
+        "<div><template>drawn</div>",
+        "<select><option>drawn</option></select>",
+        "<template><p>drawn</p></template>",
+        "<script>if (a < b) '<p>drawn</p>'</script>",
+    ],
+)
+def test_skipped_elements_end(piece):
+    page = f"<html><body><article><p>{LONG}</p>{piece}<p>{LONG} again</p></article></body></html>"
+    assert main_text(page, default_tree()) == f"{LONG} {LONG} again"
+
+
+def test_formulas_are_text():
+    assert text(f"<article><p>{LONG} <math><mi>a</mi><mo>+</mo><mn>1</mn></math> holds</p></article>") == f"{LONG} a+1 holds"
+
+
+@pytest.mark.parametrize("anchor", ["<a name=x>", "<a href=/x>", "<p><a href=/x>link</p>"])
+def test_an_open_link_ends_with_its_block(anchor):
+    found = main_text(f"<div>{anchor}<p>{LONG}</p><p>{LONG} again</p></div>", default_tree())
+    assert LONG in found and f"{LONG} again" in found
