@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from couponflow.llm import (
     decontamination,
+    digests_sql,
     html_text,
     language,
     lm_scoring,
+    merkle,
     mixing,
     pii,
     quality,
@@ -108,6 +111,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document whose id's checksum is divisible by five is checked as a copy in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    claim = {"text": F.when(tampered, lowered).otherwise(F.col("text"))}
+    return merkle.verify(merkle.proofs(merkle.build(read(spark, sf_dir, "documents"), claim)))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -121,6 +132,7 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_simhash,
         op10_language_id,
+        op11_merkle_manifest,
     )
 }
 
@@ -129,6 +141,7 @@ _BENCHMARK_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTU
     'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": digests_sql.MERKLE,
     "op2_mix_sources": r"""
 WITH RECURSIVE sized AS (
     SELECT doc_id, source, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS draw,
