@@ -64,3 +64,35 @@ SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, coalesce(p.proof
        e.folded_root, e.folded_root = t.digest AS verified
 FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
 JOIN (SELECT digest FROM top WHERE n = 1) t ON true JOIN ends e USING (r) LEFT JOIN proofs p USING (r)"""
+
+
+TRIE = f"""
+WITH own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, max(k) AS n, ({crc32("c::VARCHAR")}) % 6 AS h, c - c % 100 AS b FROM own GROUP BY c),
+rebuilt AS (
+    SELECT v.c, o.k AS d, o.role, o.text FROM convs v JOIN own o ON o.c = v.b AND o.k <= v.h
+    UNION ALL
+    SELECT v.c, least(v.h, coalesce(w.n, 0)) + o.k - v.h, o.role, o.text
+    FROM convs v JOIN own o ON o.c = v.c AND o.k > v.h LEFT JOIN convs w ON w.c = v.b),
+members AS (
+    SELECT c, 0 AS d, '' AS node, 0 AS chars FROM convs
+    UNION ALL
+    SELECT c, d, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d),
+           length(text) FROM rebuilt),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS above, max(d) OVER (PARTITION BY c) AS last FROM members),
+nodes AS (
+    SELECT d, node, any_value(above) AS above, min(c) AS owner, count(*) AS n, any_value(chars) AS chars, bool_and(d = last) AS leaf,
+           sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (d = last), '')) AS ends
+    FROM steps GROUP BY d, node),
+-- A node lies below another when its smallest member is one of the other's.
+sums AS (
+    SELECT m.d, m.node, sum((w.n - 1) * w.chars) AS saved, count(*) FILTER (w.leaf) AS leaves
+    FROM members m JOIN nodes w ON w.owner = m.c AND w.d >= m.d GROUP BY m.d, m.node),
+children AS (SELECT d - 1 AS d, above AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL)
+SELECT x.owner AS conv_id, x.d::BIGINT AS depth, p.owner AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN sums s USING (d, node) LEFT JOIN children k USING (d, node)
+LEFT JOIN nodes p ON p.d = x.d - 1 AND p.node = x.above"""

@@ -17,6 +17,7 @@ from couponflow.llm import (
     merkle,
     mixing,
     pii,
+    prefix_trie,
     quality,
     secret_scan,
     simhash,
@@ -119,6 +120,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.proofs(merkle.build(read(spark, sf_dir, "documents"), claim)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation takes up to five turns from the one that begins its hundred."""
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"), conv - conv % 100, head, most=5)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -133,6 +141,7 @@ QUERIES: dict[str, Query] = {
         op9_simhash,
         op10_language_id,
         op11_merkle_manifest,
+        op13_prefix_trie,
     )
 }
 
@@ -142,6 +151,7 @@ _BENCHMARK_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTU
 
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": digests_sql.MERKLE,
+    "op13_prefix_trie": digests_sql.TRIE,
     "op2_mix_sources": r"""
 WITH RECURSIVE sized AS (
     SELECT doc_id, source, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS draw,
