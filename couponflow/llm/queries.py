@@ -16,6 +16,7 @@ from couponflow.llm import (
     lm_scoring,
     merkle,
     mixing,
+    packing,
     pii,
     prefix_trie,
     quality,
@@ -24,7 +25,7 @@ from couponflow.llm import (
     token_output,
 )
 from couponflow.llm.tables import read, small_side
-from couponflow.session import table_path
+from couponflow.session import stage, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +121,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.proofs(merkle.build(read(spark, sf_dir, "documents"), claim)))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stage(packing.pieces(read(spark, sf_dir, "documents")), "pieces")
+    return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation takes up to five turns from the one that begins its hundred."""
     conv = F.col("conv_id")
@@ -141,6 +147,7 @@ QUERIES: dict[str, Query] = {
         op9_simhash,
         op10_language_id,
         op11_merkle_manifest,
+        op12_best_fit_packing,
         op13_prefix_trie,
     )
 }
