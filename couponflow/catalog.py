@@ -21,8 +21,10 @@ from couponflow.plans import batch as in_batch
 from couponflow.plans import history as past
 from couponflow.plans import matrix, reports
 from couponflow.plans import online as web
+from couponflow.plans.panes import SlidingHistory
 from couponflow.session import shared_dir, stage, table_path
-from couponflow.sources import scans, sinks, standin
+from couponflow.sources import scans, schemas, sinks, standin
+from couponflow.sources.cache import FeatureCache, Source, code_mark
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROW_KEYS = ["fold", "user_id", "merchant_id", "coupon_id", "date_received"]
@@ -129,11 +131,15 @@ class Inputs:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        """The training matrix, built once per application and table folder."""
-        return sinks.cached_table(
-            self.spark,
-            _cache_path(self.spark, self.sf_dir, "matrix"),
-            lambda: matrix.training_matrix(self.feature_table),
+        """The training matrix, kept by fold and built again only where its tables, folds or code have changed."""
+        key = hashlib.md5(self.sf_dir.encode()).hexdigest()
+        cache = FeatureCache(self.spark, f"{shared_dir(self.spark)}/couponflow/cache/matrix-{key}")
+        tables = [Source(t, (f"{self.sf_dir}/{t}.parquet",)) for t in ("orders", "lineitem", "events")]
+        return cache.table(
+            standin.FOLDS,
+            tables,
+            {"table": "training matrix", "code": code_mark()},
+            lambda stale: matrix.training_matrix(matrix.feature_table(self.raw, self.raw_online, stale)),
         )
 
     @property
@@ -155,12 +161,6 @@ class Inputs:
         return training.assemble(self.matrix, matrix.model_inputs(self.matrix))
 
 
-def _cache_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    key = hashlib.md5(sf_dir.encode()).hexdigest()
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/couponflow/{app}/{name}-{key}"
-
-
 REGISTRY: dict[str, Query] = {}
 
 
@@ -211,6 +211,33 @@ def feature_cache_roundtrip(i: Inputs) -> DataFrame:
     return sinks.cached_table(i.spark, path, build)
 
 
+@query
+def feature_cache_incremental(i: Inputs) -> DataFrame:
+    """User counts by fold from a cache, after the events from 2000 on have been added to its source.
+
+    ``state``: whether the fold was built anew for them, or reused because none of them is in its windows.
+    """
+    source, later = table_path(i.spark, "source-by-year"), F.lit(standin.FOLDS[1].label_from)
+    events = i.raw.withColumn("year", F.year(F.coalesce("date_received", "date")))
+
+    def read(files: list[str]) -> DataFrame:
+        return i.spark.read.schema(schemas.OFFLINE).parquet(*files)
+
+    def build(stale: list[folds.Fold]) -> DataFrame:
+        history = folds.history_rows(clean_offline(read([source])), stale)
+        pairs, coupons = past.user_merchant_counts(history), past.user_coupon_counts(history)
+        return past.user_features(history, pairs, coupons).select("fold", "user_id", "u1", "u2", "u3", "u4")
+
+    cache = FeatureCache(i.spark, table_path(i.spark, "user-cache"))
+    offline = Source("offline", (source,), read)
+    day = F.coalesce("date_received", "date")
+    for part, mode in ((day < later, "error"), (day >= later, "append")):
+        events.where(part).write.mode(mode).partitionBy("year").parquet(source)
+        found = cache.table(standin.FOLDS, [offline], {"table": "user counts"}, build)
+    built = F.col("fold").isin(cache.built) if cache.built else F.lit(False)
+    return found.withColumn("state", F.when(built, "built").otherwise("reused"))
+
+
 # --- row-level columns ---------------------------------------------------------------------
 
 
@@ -394,6 +421,26 @@ def sliding_folds(i: Inputs) -> DataFrame:
     )
 
 
+def _sliding(i: Inputs) -> SlidingHistory:
+    return SlidingHistory(i.offline, folds.sliding_folds(**SLIDING))
+
+
+@query
+def sliding_user_features(i: Inputs) -> DataFrame:
+    """User features of every sliding fold, from daily panes."""
+    return _sliding(i).users()
+
+
+@query
+def sliding_merchant_features(i: Inputs) -> DataFrame:
+    return _sliding(i).merchants()
+
+
+@query
+def sliding_coupon_features(i: Inputs) -> DataFrame:
+    return _sliding(i).coupons()
+
+
 @query
 def three_sigma(i: Inputs) -> DataFrame:
     pairs = i.pairs.select("fold", "user_id", "merchant_id", "held", "bought")

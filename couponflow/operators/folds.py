@@ -78,7 +78,7 @@ def label_rows(events: DataFrame, folds: Sequence[Fold]) -> DataFrame:
     """Receipts inside the label windows, once per fold."""
     return _expand(
         events,
-        [(f.fold, _within(F.col("date_received"), f.label_from, f.label_to)) for f in folds],
+        [(f.fold, within(F.col("date_received"), f.label_from, f.label_to)) for f in folds],
     )
 
 
@@ -97,15 +97,15 @@ def history_rows(
         received, bought = F.col("date_received"), F.col("date")
     windows = []
     for f in folds:
-        windows.append((f.fold, _within(received, f.recv_from, f.recv_to)))
-        windows.append((f.fold, no_coupon(events) & _within(bought, f.buy_from, f.buy_to)))
+        windows.append((f.fold, within(received, f.recv_from, f.recv_to)))
+        windows.append((f.fold, no_coupon(events) & within(bought, f.buy_from, f.buy_to)))
     return _expand(events, windows)
 
 
 def scoring_history(events: DataFrame, start: date, until: date | None = None) -> DataFrame:
     """History for scoring: each purchase or receipt since ``start``, once."""
-    purchase = no_coupon(events) & _within(F.col("date"), start, until)
-    receipt = _within(F.col("date_received"), start, until)
+    purchase = no_coupon(events) & within(F.col("date"), start, until)
+    receipt = within(F.col("date_received"), start, until)
     return events.where(purchase | receipt)
 
 
@@ -115,7 +115,8 @@ def no_coupon(events: DataFrame) -> Column:
     return F.col("coupon_id") == (F.lit("0") if is_text else F.lit(0))
 
 
-def _within(day: Column, start: date | None, end: date | None) -> Column:
+def within(day: Column, start: date | None, end: date | None) -> Column:
+    """Whether ``day`` is there and inside a closed window."""
     inside = day.isNotNull()
     if start is not None:
         inside = inside & (day >= F.lit(start))

@@ -118,13 +118,19 @@ def user_features(
     history: DataFrame, user_merchant: DataFrame, user_coupon: DataFrame
 ) -> DataFrame:
     """Per user: u1-u11, u19-u25, u27, u28, u32, u35-u37, u45, u48, u49 and um9-um12."""
+    return user_features_of(stats(history, USER), user_merchant, user_coupon)
+
+
+def user_features_of(
+    statistics: DataFrame, user_merchant: DataFrame, user_coupon: DataFrame
+) -> DataFrame:
+    """As :func:`user_features`, from the :func:`stats` of each user."""
     coupons = user_coupon.groupBy(*USER).agg(some(F.count_if(F.col("used") > 0)).alias("u32"))
     merchants = user_merchant.groupBy(*USER).agg(
         F.count(F.lit(1)).alias("um9"), some(F.count_if(F.col("used") > 0)).alias("um10")
     )
     per_user = (
-        stats(history, USER)
-        .withColumns(
+        statistics.withColumns(
             {
                 "u1": F.col("used") + F.col("unused"),
                 "u2": some("used"),
@@ -178,6 +184,13 @@ def merchant_features(
     history: DataFrame, user_merchant: DataFrame, merchant_coupon: DataFrame
 ) -> DataFrame:
     """Per merchant: m0-m4, m7-m15 and m18-m23. m9 is the highest and m10 the lowest rate."""
+    return merchant_features_of(stats(history, MERCHANT), user_merchant, merchant_coupon)
+
+
+def merchant_features_of(
+    statistics: DataFrame, user_merchant: DataFrame, merchant_coupon: DataFrame
+) -> DataFrame:
+    """As :func:`merchant_features`, from the :func:`stats` of each merchant."""
     coupons = merchant_coupon.groupBy(*MERCHANT).agg(
         some(F.count_if(F.col("used") > 0)).alias("m15"),
         some(F.count_if(F.col("received") > 0)).alias("m18"),
@@ -186,7 +199,7 @@ def merchant_features(
         some(F.count_if(F.col("used") > 0)).alias("m11"),
         some(F.count_if(F.col("received") > 0)).alias("m12"),
     )
-    per_merchant = stats(history, MERCHANT).select(
+    per_merchant = statistics.select(
         *MERCHANT,
         some("bought").alias("m0"),
         some("used").alias("m1"),
@@ -217,7 +230,12 @@ def merchant_features(
 
 def coupon_features(history: DataFrame) -> DataFrame:
     """Per coupon: c1-c4 and c12. c4 is missing for a coupon that was never used."""
-    return stats(history.where(_held()), COUPON).select(
+    return coupon_features_of(stats(history.where(_held()), COUPON))
+
+
+def coupon_features_of(statistics: DataFrame) -> DataFrame:
+    """As :func:`coupon_features`, from the :func:`stats` of each coupon."""
+    return statistics.select(
         *COUPON,
         some("held").alias("c1"),
         some("used").alias("c2"),

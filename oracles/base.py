@@ -128,6 +128,17 @@ FOLDS = [
         "\"date\" BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'",
     ),
 ]
+# Nine half years from 1997 on, each described by the year before it.
+SLIDING = [
+    (
+        n + 1,
+        "",
+        f"date_received BETWEEN {start} - 365 AND {start} - 91",
+        f'"date" BETWEEN {start} - 365 AND {start} - 1',
+    )
+    for n in range(9)
+    for start in [f"(DATE '1997-01-01' + {182 * n})"]
+]
 PREDICT_LABEL = "date_received BETWEEN DATE '2001-01-01' AND DATE '2001-12-31'"
 
 FLAGS = """coupon_id <> {none} AND "date" IS NOT NULL AS used,
@@ -144,10 +155,14 @@ def _sentinel(condition: str) -> str:
 
 
 def history(
-    name: str = "history", source: str = "clean", none: str = "0", compat: bool = False
+    name: str = "history",
+    source: str = "clean",
+    none: str = "0",
+    compat: bool = False,
+    folds: list | None = None,
 ) -> str:
     parts = []
-    for fold, _, receipts, purchases in FOLDS:
+    for fold, _, receipts, purchases in folds or FOLDS:
         if compat:
             receipts, purchases = _sentinel(receipts), _sentinel(purchases)
         parts.append(f"SELECT {fold} AS fold, * FROM {source} WHERE {receipts}")

@@ -8,6 +8,7 @@ from oracles.base import (
     OFFLINE,
     ONLINE,
     SCORING_BATCH,
+    SLIDING,
     WEB,
     WEB_HISTORY,
     columns,
@@ -315,6 +316,18 @@ SQL = {
     "feat_user_discount": from_history(
         USER_DISCOUNT, "user_discount_f", "fold user_id discount_rate_text u41 u42 u43 u44:d"
     ),
+    "sliding_user_features": query(
+        [OFFLINE, CLEAN, history(folds=SLIDING), USER],
+        f"SELECT {columns('fold user_id ' + USER_SPEC)} FROM user_f",
+    ),
+    "sliding_merchant_features": query(
+        [OFFLINE, CLEAN, history(folds=SLIDING), MERCHANT],
+        f"SELECT {columns('fold merchant_id ' + MERCHANT_SPEC)} FROM merchant_f",
+    ),
+    "sliding_coupon_features": query(
+        [OFFLINE, CLEAN, history(folds=SLIDING), COUPON],
+        f"SELECT {columns('fold coupon_id c1 c2 c3:d c4 c12:d')} FROM coupon_f",
+    ),
     "feat_merchant_counts": merchant_table("m0 m1 m2:l m3 m4:d m7"),
     "feat_merchant_rate": merchant_table("m8:d m9:d m10:d"),
     "feat_merchant_variety": merchant_table("m11 m12 m13:d m14:d m15 m18 m19:d"),

@@ -101,6 +101,11 @@ SQL = {
         [OFFLINE, CLEAN, history(), USER],
         f"SELECT {columns('fold user_id u1:l u2 u3 u4:d')} FROM user_f",
     ),
+    "feature_cache_incremental": query(
+        [OFFLINE, CLEAN, history(), USER],
+        f"""SELECT {columns('fold user_id u1:l u2 u3 u4:d')},
+                   CASE fold WHEN 1 THEN 'reused' ELSE 'built' END AS state FROM user_f""",
+    ),
     "clean_distance": cleaned(f"{EVENT}, distance"),
     "clean_coupon": query(
         [OFFLINE, CLEAN, ONLINE, WEB],
