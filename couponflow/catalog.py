@@ -5,16 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from couponflow.functions import dates, discount
 from couponflow.functions.basic import ratio, rounded, zero_if_missing
 from couponflow.functions.cleaning import UNKNOWN_DISTANCE, clean_offline, clean_online
-from couponflow.models import scoring, search, stacking, training
+from couponflow.models import scoring, search, stacking, training, trees
+from couponflow.models.checkpoints import CheckpointEnsemble
 from couponflow.models.estimators import make
 from couponflow.operators import auc, blending, folds, sampling, scaling, spread
 from couponflow.plans import batch as in_batch
@@ -31,7 +32,7 @@ ROW_KEYS = ["fold", "user_id", "merchant_id", "coupon_id", "date_received"]
 EVENT_KEYS = ["user_id", "merchant_id", "coupon_id", "date_received", "date"]
 # Small models for the registered queries; the tuned sizes are in ``models.estimators``.
 QUICK = {"maxIter": 4, "maxDepth": 4, "numTrees": 6, "stepSize": 0.1, "minInstancesPerNode": 5}
-# Rows (about) of the sample that a search is tuned on.
+# Rows of the sample that a search is tuned on.
 TUNING_ROWS = 10_000
 BIN_EDGES = (0.6, 0.7, 0.8, 0.9)
 SLIDING = dict(
@@ -203,6 +204,20 @@ def scan_online(i: Inputs) -> DataFrame:
     return scans.online_csv(i.spark, _through_csv(i.raw_online, "online"))
 
 
+@query
+def scan_quarantine(i: Inputs) -> DataFrame:
+    """Good and bad lines by merchant, where every 50th user's days are not days."""
+    path, text = table_path(i.spark, "offline-damaged"), F.date_format
+    damaged = F.col("user_id") % 50 == 0
+    days = {c: F.when(damaged, "someday").otherwise(F.coalesce(text(c, "yyyyMMdd"), F.lit("null"))) for c in ("date_received", "date")}
+    i.raw.withColumns(days).write.option("header", True).option("nullValue", "null").csv(path)
+    found = scans.ingest_csv(i.spark, path, schemas.OFFLINE, table_path(i.spark, "ingested"), most_bad=0.1)
+    good = found.rows.select(F.lit("good").alias("kind"), "merchant_id")
+    merchant = F.split("line", ",")[1].cast("long").alias("merchant_id")
+    bad = found.quarantine.select(F.lit("bad").alias("kind"), merchant)
+    return good.unionByName(bad).groupBy("kind", "merchant_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def feature_cache_roundtrip(i: Inputs) -> DataFrame:
     path = table_path(i.spark, "user-counts")
@@ -757,7 +772,16 @@ def split_train_test(i: Inputs) -> DataFrame:
 
 @query
 def tuning_sample(i: Inputs) -> DataFrame:
-    return sampling.sample_rows(i.identified.select("row_id", "label"), TUNING_ROWS)
+    """Exactly ``TUNING_ROWS`` rows."""
+    return sampling.exact_sample(stage(i.identified.select("row_id", "label"), "identified"), TUNING_ROWS)
+
+
+@query
+def split_exact(i: Inputs) -> DataFrame:
+    """Exactly 5,000 rows to train on, beside the quarter kept for testing."""
+    rows = stage(i.identified.select("row_id", "label"), "identified")
+    train, test = sampling.split_exact(rows, 5_000)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 @query
@@ -773,7 +797,7 @@ def bagging_split(i: Inputs) -> DataFrame:
 
 @query
 def undersample(i: Inputs) -> DataFrame:
-    rows = i.identified.select("row_id", "user_id", "label")
+    rows = stage(i.identified.select("row_id", "user_id", "label"), "identified")
     return sampling.undersample(rows, others=200)
 
 
@@ -899,9 +923,36 @@ def submission_baseline(i: Inputs) -> DataFrame:
     return _submitted(i, batch, BASELINE_INPUTS, lambda rows: training.score(model, rows))
 
 
+FM_QUICK = {"maxIter": 20, "factorSize": 4, "stepSize": 0.1}
+
+
 @query
 def train_fm(i: Inputs) -> DataFrame:
-    return training.train_fm(i.matrix, maxIter=5, factorSize=4)
+    return training.train_fm(i.matrix, **FM_QUICK)[1]
+
+
+@query
+def fm_checkpoints(i: Inputs) -> DataFrame:
+    """Metrics of two factorization machines at two checkpoints each, and of their weighted mean."""
+    train, test = training.split(i.matrix)
+    shape = Pipeline(stages=training.wide_inputs(training.dense_inputs(i.matrix))).fit(train)
+    rows = stage(shape.transform(train).select("features", "label"), "fm-train")
+    machines = [make("fm", seed=seed, **FM_QUICK | {"factorSize": size, "tol": 0.0}) for seed, size in ((0, 4), (1, 8))]
+    ensemble = CheckpointEnsemble(machines, (10, 20)).fit(rows)
+    scored = stage(ensemble.predict(shape.transform(test)).drop("features"), "fm-scored")
+    found = [training.metrics(scored.withColumn("score", F.col(c)), c) for c in (*ensemble.names(), "score")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def submission_fm(i: Inputs) -> DataFrame:
+    """The batch scored by a saved and reloaded factorization machine with its encoders."""
+    path = table_path(i.spark, "fm-pipeline")
+    training.fit_fm(i.matrix, **FM_QUICK).write().save(path)
+    loaded = PipelineModel.load(path)
+    table = matrix.fill_missing(i.scoring_table)
+    scored = training.score(loaded, table)
+    return _written(i, scoring.shaped(scored))
 
 
 @query
@@ -915,32 +966,53 @@ def model_roundtrip(i: Inputs) -> DataFrame:
 
 @query
 def feature_importance(i: Inputs) -> DataFrame:
+    """How often each input splits a node of a boosted ensemble, and its share of the gain."""
     model, _ = training.train_and_evaluate(i.matrix, "gbt_a", **QUICK)
-    ranked = training.feature_importance(model, matrix.model_inputs(i.matrix))
-    table = i.spark.createDataFrame(ranked, "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature")
+    ranked = trees.split_counts(model, matrix.model_inputs(i.matrix))
+    return ranked.orderBy(F.desc("splits"), F.desc("importance"), "feature")
+
+
+def _trials(i: Inputs, sample: DataFrame, name: str) -> search.Trials:
+    folder = f"{shared_dir(i.spark)}/couponflow/trials/{name}"
+    return search.Trials(i.spark, folder, search.data_mark(sample))
+
+
+def _tuning_rows(i: Inputs) -> DataFrame:
+    return stage(sampling.exact_sample(i.vectors, TUNING_ROWS), "tuning-sample")
 
 
 @query
 def grid_search(i: Inputs) -> DataFrame:
     """Five-fold AUC per tree depth on the tuning sample."""
-    sample = sampling.sample_rows(i.vectors, TUNING_ROWS)
-    quick = make("gbt", maxIter=2, stepSize=0.1, minInstancesPerNode=5)
-    trials = search.grid_search(sample, quick, {"maxDepth": [2, 3]})
-    rows = [(str(t.params), float(t.mean_auc), float(t.two_std)) for t in trials]
+    sample = _tuning_rows(i)
+    found = search.Search(sample, "gbt", trials=_trials(i, sample, "grid"))
+    trials = found.grid({"maxDepth": [2, 3]}, {"maxIter": 2, "stepSize": 0.1, "minInstancesPerNode": 5})
+    rows = [(str(t.params), t.mean_auc, t.two_std) for t in trials]
     return i.spark.createDataFrame(rows, "params string, mean_auc double, two_std double")
 
 
+def _walk(i: Inputs, model: str, start: dict, steps: dict[str, search.Step], folds: int, sweeps: int | None) -> DataFrame:
+    sample = _tuning_rows(i)
+    found = search.Search(sample, model, folds, _trials(i, sample, f"walk-{model}"))
+    _, log = search.coordinate_search(found.evaluate, start, steps, sweeps)
+    rows = [(n, str(t.params), t.mean_auc) for n, t in enumerate(log)]
+    return i.spark.createDataFrame(rows, "round int, params string, mean_auc double")
+
+
 @query
 def coordinate_search(i: Inputs) -> DataFrame:
     """Walk along the two regularisation parameters of a logistic model on the tuning sample."""
-    sample = sampling.sample_rows(i.vectors, TUNING_ROWS)
     steps = {"regParam": search.Step(0.05, 0.0, 0.1), "elasticNetParam": search.Step(0.5, 0.0, 1.0)}
-    evaluate = search.cross_validated(sample, "logistic", folds=2)
-    start = {"regParam": 0.05, "elasticNetParam": 0.5, "maxIter": 5}
-    _, log = search.coordinate_search(evaluate, start, steps)
-    rows = [(n, str(t.params), float(t.mean_auc)) for n, t in enumerate(log)]
-    return i.spark.createDataFrame(rows, "round int, params string, mean_auc double")
+    return _walk(i, "logistic", {"regParam": 0.05, "elasticNetParam": 0.5, "maxIter": 5}, steps, 2, None)
+
+
+@query
+def search_boosted(i: Inputs) -> DataFrame:
+    """One sweep over the whole space of a boosted model but for its rounds, over five folds."""
+    steps = {name: step for name, step in search.SPACES["gbt_a"].items() if name != "maxIter"}
+    start = {"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 4, "minInfoGain": 0.0, "stepSize": 0.3}
+    start |= {"subsamplingRate": 0.6, "featureSubsetStrategy": 0.8}
+    return _walk(i, "gbt_a", start, steps, 5, 1)
 
 
 STACK_QUICK = {**QUICK, "maxIter": 2, "maxDepth": 3}
@@ -955,11 +1027,11 @@ def stack_oof(i: Inputs) -> DataFrame:
 
 @query
 def stack_meta(i: Inputs) -> DataFrame:
-    """Metrics of the stack on the rows kept for testing."""
+    """Metrics of every base and of the stack on the rows kept for testing."""
     train, test = training.split(i.vectors)
     stack = stacking.Stack(overrides=STACK_QUICK)
     stack.fit(train)
-    return training.metrics(stack.predict(test), "stack")
+    return stack.report(stack.predict(test))
 
 
 @query
@@ -1005,7 +1077,10 @@ def submission_single(i: Inputs) -> DataFrame:
 
 def _submitted(i: Inputs, table: DataFrame, inputs: list[str], predict) -> DataFrame:
     """Scores of a batch, written and read back as header-less CSV."""
-    table = scoring.submission(table, inputs, predict)
+    return _written(i, scoring.submission(table, inputs, predict))
+
+
+def _written(i: Inputs, table: DataFrame) -> DataFrame:
     path = table_path(i.spark, "submission")
     sinks.write_submission(table, path)
     schema = "user_id bigint, coupon_id bigint, date_received string, probability double"

@@ -7,6 +7,7 @@ the nearest parameters. A leaf limit becomes a depth of log2(leaves); the column
 
 from __future__ import annotations
 
+from dataclasses import fields
 from typing import Any
 
 from pyspark.ml import Estimator
@@ -17,7 +18,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
-FEATURES, LABEL, PROBABILITY = "features", "label", "probability"
+from couponflow.models.names import FEATURES, LABEL
+from couponflow.models.trees import ExtraTrees
 
 # Tuned parameters per model.
 DEFAULTS: dict[str, tuple[type, dict[str, Any]]] = {
@@ -59,15 +61,10 @@ DEFAULTS: dict[str, tuple[type, dict[str, Any]]] = {
         RandomForestClassifier,
         dict(numTrees=3110, maxDepth=13, minInstancesPerNode=10, impurity="entropy"),
     ),
-    "et_gini": (
-        RandomForestClassifier,
-        dict(numTrees=3060, maxDepth=22, minInstancesPerNode=1, impurity="gini", bootstrap=False),
-    ),
+    "et_gini": (ExtraTrees, dict(numTrees=3060, maxDepth=22, minInstancesPerNode=1, impurity="gini")),
     "et_entropy": (
-        RandomForestClassifier,
-        dict(
-            numTrees=3100, maxDepth=13, minInstancesPerNode=10, impurity="entropy", bootstrap=False
-        ),
+        ExtraTrees,
+        dict(numTrees=3100, maxDepth=13, minInstancesPerNode=10, impurity="entropy"),
     ),
     "logistic": (LogisticRegression, dict(regParam=0.01, elasticNetParam=0.01, maxIter=100, standardization=False)),
     "fm": (FMClassifier, dict(factorSize=8, solver="adamW", stepSize=0.01, maxIter=100)),
@@ -77,9 +74,12 @@ DEFAULTS: dict[str, tuple[type, dict[str, Any]]] = {
 STACK_BASES = ["gbt", "gbt_a", "gbt_b", "gbt_c"]
 
 
-def make(name: str, seed: int = 0, **overrides: Any) -> Estimator:
+def make(name: str, seed: int = 0, **overrides: Any) -> Estimator | ExtraTrees:
     """Estimator ``name`` with ``overrides`` for those parameters that it has."""
     kind, defaults = DEFAULTS[name]
+    if kind is ExtraTrees:
+        known = {f.name for f in fields(kind)}
+        return kind(**defaults | {"seed": seed} | {k: v for k, v in overrides.items() if k in known})
     estimator = kind(featuresCol=FEATURES, labelCol=LABEL, **defaults)
     if estimator.hasParam("seed"):
         estimator = estimator.copy({estimator.getParam("seed"): seed})

@@ -10,10 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponflow.models.estimators import FEATURES, LABEL, make
+from couponflow.models.encoders import LabelEncoder, RangeScaler
+from couponflow.models.estimators import make
+from couponflow.models.names import FEATURES, LABEL
 from couponflow.operators import auc
-from couponflow.operators.sampling import hash_fraction, share_for, split_train_test
-from couponflow.operators.scaling import bounds_of, label_encode, scale
+from couponflow.operators.sampling import hash_fraction, split_exact
 from couponflow.plans.matrix import model_inputs
 from couponflow.session import stage
 
@@ -47,12 +48,8 @@ def metrics(scored: DataFrame, name: str) -> DataFrame:
 
 
 def split(matrix: DataFrame, train_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Training rows (about ``train_rows``) and the quarter kept for testing."""
-    parts = split_train_test(matrix, train_share=share_for(matrix, train_rows))
-    return (
-        parts.where(F.col("part") == "train").drop("part"),
-        parts.where(F.col("part") == "test").drop("part"),
-    )
+    """Training rows (exactly ``train_rows``, if there are so many) and the quarter kept for testing."""
+    return split_exact(matrix, train_rows)
 
 
 def train_and_evaluate(
@@ -65,23 +62,32 @@ def train_and_evaluate(
     return model, metrics(score(model, test), name)
 
 
-def train_fm(matrix: DataFrame, train_rows: int | None = None, **overrides) -> DataFrame:
-    """Factorization machine on one-hot categories and scaled numbers; metrics on the test part."""
-    dense = [c for c in model_inputs(matrix) if c not in SPARSE_INPUTS]
-    rows = label_encode(scale(matrix, bounds_of(matrix, dense)), SPARSE_INPUTS)
-    codes = [f"{c}_code" for c in SPARSE_INPUTS]
-    hot = [f"{c}_hot" for c in SPARSE_INPUTS]
-    encode = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=False)
-    gather = VectorAssembler(inputCols=[*hot, *dense], outputCol=FEATURES)
-    shaped = Pipeline(stages=[encode, gather]).fit(rows).transform(rows).select(*KEPT, FEATURES)
-    train, test = split(shaped, train_rows)
-    return metrics(score(make("fm", **overrides).fit(train), test), "fm")
+def wide_inputs(dense: Sequence[str]) -> list:
+    """Stages that turn filled matrix rows into one-hot categories and scaled numbers, fitted on training rows only."""
+    codes, hot = ([f"{c}_{kind}" for c in SPARSE_INPUTS] for kind in ("code", "hot"))
+    return [
+        LabelEncoder(SPARSE_INPUTS, codes),
+        RangeScaler(list(dense)),
+        # A value that is new in a batch has a place of its own, which training leaves empty.
+        OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=False, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*hot, *dense], outputCol=FEATURES),
+    ]
 
 
-def feature_importance(model: Model, inputs: Sequence[str]) -> list[tuple[str, float]]:
-    """(input, gain-based importance), highest first."""
-    values = model.featureImportances.toArray()
-    return sorted(zip(inputs, map(float, values), strict=True), key=lambda p: (-p[1], p[0]))
+def dense_inputs(matrix: DataFrame) -> list[str]:
+    return [c for c in model_inputs(matrix) if c not in SPARSE_INPUTS]
+
+
+def fit_fm(train: DataFrame, **overrides) -> PipelineModel:
+    """Encoders and factorization machine in one pipeline, which can be saved and scores any batch with these columns."""
+    return Pipeline(stages=[*wide_inputs(dense_inputs(train)), make("fm", **overrides)]).fit(train)
+
+
+def train_fm(matrix: DataFrame, train_rows: int | None = None, **overrides) -> tuple[PipelineModel, DataFrame]:
+    """Factorization machine and its metrics on the test part."""
+    train, test = split(matrix, train_rows)
+    model = fit_fm(train, **overrides)
+    return model, metrics(score(model, test), "fm")
 
 
 def pipeline(inputs: Sequence[str], estimator: Estimator) -> Pipeline:

@@ -97,6 +97,10 @@ SQL = {
         [OFFLINE], f'SELECT * EXCLUDE ("date") FROM offline WHERE {PREDICT_LABEL}'
     ),
     "scan_online": query([ONLINE], "SELECT * FROM online"),
+    "scan_quarantine": raw(
+        """CASE WHEN user_id % 50 = 0 THEN 'bad' ELSE 'good' END AS kind, merchant_id, count(*) AS lines"""
+    )
+    + " GROUP BY ALL",
     "feature_cache_roundtrip": query(
         [OFFLINE, CLEAN, history(), USER],
         f"SELECT {columns('fold user_id u1:l u2 u3 u4:d')} FROM user_f",
@@ -257,18 +261,22 @@ SQL = {
     ),
     "tuning_sample": query(
         [OFFLINE, CLEAN, BATCH, IDENTIFIED],
-        f"""SELECT row_id, label FROM identified
-            WHERE {fraction("row_id || '/0-sample'")}
-                  < least(1.0::DOUBLE, 10000::DOUBLE / (SELECT count(*) FROM identified))""",
+        "SELECT row_id, label FROM identified ORDER BY md5(row_id || '/0-sample'), row_id LIMIT 10000",
     ),
-    "undersample": query(
+    "split_exact": query(
         [OFFLINE, CLEAN, BATCH, IDENTIFIED],
-        f"""SELECT row_id, user_id, label
-            FROM (SELECT row_id, user_id, label, max(label) OVER (PARTITION BY user_id) = 1 AS kept
-                  FROM identified)
-            WHERE kept OR {fraction("row_id || '/0-sample'")} < least(1.0::DOUBLE, 200::DOUBLE / (
-                SELECT count(*) FROM (SELECT max(label) OVER (PARTITION BY user_id) AS m FROM identified)
-                WHERE m <> 1))""",
+        f"""SELECT row_id, label, 'test' AS part FROM identified WHERE {fraction("row_id || '/0'")} < 0.25
+            UNION ALL SELECT * FROM (
+                SELECT row_id, label, 'train' FROM identified WHERE {fraction("row_id || '/0'")} >= 0.25
+                ORDER BY md5(row_id || '/0-train-sample'), row_id LIMIT 5000)""",
+    ),
+    "undersample": query(
+        [OFFLINE, CLEAN, BATCH, IDENTIFIED, """
+marked AS (SELECT row_id, user_id, label, max(label) OVER (PARTITION BY user_id) = 1 AS kept FROM identified)"""],
+        """SELECT row_id, user_id, label FROM marked WHERE kept
+           UNION ALL SELECT * FROM (
+               SELECT row_id, user_id, label FROM marked WHERE NOT kept
+               ORDER BY md5(row_id || '/0-sample'), row_id LIMIT 200)""",
     ),
     "bagging_split": query(
         [OFFLINE, CLEAN, BATCH, IDENTIFIED],

@@ -43,19 +43,25 @@ def test_every_model_can_be_made():
         make(name, **QUICK)
 
 
-def test_importance_prefers_the_signal(planted):
-    model, _ = training.train_and_evaluate(planted, "gbt", **QUICK)
-    ranked = training.feature_importance(model, ["strong", "weak"])
-    assert ranked[0][0] == "strong"
-
-
 def test_out_of_fold_covers_each_row_once(vectors):
     stack = stacking.Stack(bases=("gbt", "rf_gini"), k=3, overrides=QUICK)
     oof = stack.fit(vectors)
     assert oof.count() == 600 == oof.select("row_id").distinct().count()
     assert len(stack.members["gbt"]) == 3
-    bounds = stack.predict(vectors).agg(F.min("score"), F.max("score")).first()
+    scored = stack.predict(vectors)
+    bounds = scored.agg(F.min("score"), F.max("score")).first()
     assert tuple(bounds) == (0.0, 1.0)
+    report = {r.model: r.auc for r in stack.report(scored).collect()}
+    assert set(report) == {"gbt", "rf_gini", "score"} and min(report.values()) > 0.85
+
+
+def test_members_fitted_in_parallel_are_those_fitted_in_order(vectors):
+    found = []
+    for width in (1, 4):
+        stack = stacking.Stack(bases=("gbt", "gbt_a"), k=2, overrides=QUICK, width=width)
+        rows = stack.out_of_fold(vectors).select("row_id", "gbt", "gbt_a").collect()
+        found.append({r.row_id: (round(r.gbt, 9), round(r.gbt_a, 9)) for r in rows})
+    assert found[0] == found[1]
 
 
 def test_stack_bag(vectors):
@@ -75,11 +81,42 @@ def test_holdout_blend(vectors):
 
 
 def test_grid_search_reports_every_point(vectors):
-    trials = search.grid_search(vectors, make("gbt", **QUICK), {"maxDepth": [1, 2]}, folds=2)
+    trials = search.grid_search(vectors, "gbt", {"maxDepth": [1, 2]}, folds=2, **QUICK | {"maxDepth": 1})
     assert sorted(t.params["maxDepth"] for t in trials) == [1, 2]
     assert trials[0].mean_auc >= trials[1].mean_auc > 0.5
 
 
+def test_a_search_that_starts_again_fits_nothing(spark, vectors, tmp_path):
+    folder, mark = str(tmp_path / "trials"), search.data_mark(vectors)
+    steps = {"maxDepth": search.Step(1, 1, 3), "subsamplingRate": search.SPACES["gbt_a"]["subsamplingRate"]}
+    start = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 1.0}
+    found = []
+    for _ in range(2):
+        trials = search.Trials(spark, folder, mark)
+        walk = search.Search(vectors, "gbt_a", 2, trials)
+        found.append((search.coordinate_search(walk.evaluate, start, steps), trials.fitted))
+    (first, fitted), (second, again) = found
+    assert first == second and fitted > 3 and again == 0
+    rows = search.Trials(spark, folder, mark).table()
+    assert rows.count() == fitted == rows.select("key").distinct().count()
+    # Lost after some trials: only the others are fitted.
+    half = str(tmp_path / "half")
+    rows.limit(2).write.parquet(half)
+    trials = search.Trials(spark, half, mark)
+    search.coordinate_search(search.Search(vectors, "gbt_a", 2, trials).evaluate, start, steps)
+    assert trials.fitted == fitted - 2
+    # Trials of other rows do not count.
+    assert search.Trials(spark, folder, "other rows").known == {}
+
+
+def test_every_tuned_model_has_a_space():
+    for name, space in search.SPACES.items():
+        for parameter, step in space.items():
+            value = step.clip(step.low + step.step)
+            model = make(name, **{parameter: str(value) if parameter == "featureSubsetStrategy" else value})
+            assert getattr(model, parameter, None) is not None
+
+
 def test_walk_climbs_and_stops():
     def score(p):
         return 1 - abs(p["a"] - 7) / 100 - abs(p["b"] - 0.3) / 10

@@ -42,6 +42,53 @@ def test_standin_counts(spark, tables):
     assert actions == {0: 599, 1: 202, 2: 199}
 
 
+LINES = [
+    "User_id,Merchant_id,Coupon_id,Discount_rate,Distance,Date_received,Date",
+    "1,2,3,0.9,4,20160101,null",
+    "x,2,3,0.9,4,20160101,null",
+    "1,2,3,0.9,4,20161301,null",
+    "1,2,3,0.9,4,20160230,null",
+    "1,2,3,0.9",
+    "1,2,3,0.9,4,20160101,null,surplus",
+    "2,2,null,null,null,null,20160102",
+]
+
+
+def test_bad_lines_go_to_quarantine(spark, tmp_path):
+    path = tmp_path / "offline.csv"
+    path.write_text("\n".join(LINES) + "\n")
+    found = scans.ingest_csv(spark, str(path), schemas.OFFLINE, str(tmp_path / "in"), most_bad=0.8)
+    assert (found.total, found.bad) == (7, 5)
+    assert sorted(r.user_id for r in found.rows.collect()) == [1, 2]
+    assert found.rows.schema.names == schemas.OFFLINE.names
+    assert sorted(r.line for r in found.quarantine.collect()) == sorted(LINES[2:7])
+    assert [(r.good, r.bad) for r in found.counts.collect()] == [(2, 5)]
+    with pytest.raises(scans.TooManyBadRows, match="5 of 7"):
+        scans.ingest_csv(spark, str(path), schemas.OFFLINE, str(tmp_path / "strict"))
+    # The lines can be looked at all the same.
+    assert spark.read.parquet(str(tmp_path / "strict" / "quarantine")).count() == 5
+
+
+def test_a_table_without_lines_and_one_without_bad_ones(spark, tmp_path):
+    for name, lines, total in (("none", LINES[:1], 0), ("good", LINES[:2], 1)):
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        found = scans.ingest_csv(spark, str(path), schemas.OFFLINE, str(tmp_path / name))
+        assert (found.total, found.bad) == (total, 0) and found.rows.count() == total and found.quarantine.count() == 0
+
+
+def test_parquet_scan_and_report(spark, tmp_path):
+    """The form to keep tables in, and the report writer."""
+    path = tmp_path / "offline.csv"
+    path.write_text("\n".join(LINES[:2]) + "\n")
+    scans.offline_csv(spark, str(path)).write.parquet(str(tmp_path / "table"))
+    again = scans.read_parquet(spark, str(tmp_path / "table"), schemas.OFFLINE)
+    assert again.first().user_id == 1
+    sinks.write_report(again.groupBy("distance").count(), str(tmp_path / "report"))
+    text = "".join(Path(p).read_text() for p in glob.glob(str(tmp_path / "report" / "*.csv")))
+    assert text.splitlines() == ["distance,count", "4,1"]
+
+
 def test_cache_builds_once(spark):
     path, calls = table_path(spark, "cache"), []
 

@@ -1,5 +1,7 @@
 """Sampling, scaling, encoding, blending and column checks."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,33 @@ def test_undersample_keeps_users_with_positives(rows):
     with_positive = rows.where("label = 1").select("user_id").distinct()
     full = rows.join(with_positive, "user_id", "left_semi").count()
     assert kept.join(with_positive, "user_id", "left_semi").count() == full
-    assert 50 < kept.count() - full < 150
+    assert kept.count() - full == 100
+
+
+def test_exact_samples(rows, spark):
+    for wanted in (0, 1, 777, 2000, 5000):
+        found = sampling.exact_sample(rows, wanted)
+        assert found.count() == min(wanted, 2000)
+    hashes = {r.row_id: hashlib.md5(f"{r.row_id}/0-sample".encode()).hexdigest() for r in rows.collect()}
+    expected = sorted(hashes, key=lambda i: (hashes[i], i))[:777]
+    for small in (sampling.SMALL_BUCKET, 1, 0):
+        found = sampling.exact_sample(rows.repartition(5), 777, small=small)
+        assert sorted(r.row_id for r in found.collect()) == sorted(expected)
+    assert sampling.exact_sample(rows, 50, seed=2).exceptAll(sampling.exact_sample(rows, 50)).count() > 0
+
+
+def test_exact_samples_of_equal_ids(spark):
+    ties = spark.createDataFrame([("a",)] * 30 + [("b",)] * 30 + [("c",)], "row_id string")
+    for wanted in (1, 29, 30, 31, 45, 60, 61):
+        assert sampling.exact_sample(ties, wanted).count() == wanted
+        assert sampling.exact_sample(ties, wanted, small=0).count() == wanted
+
+
+def test_exact_split(rows):
+    train, test = sampling.split_exact(rows, 500)
+    assert train.count() == 500 and train.join(test, "row_id", "left_semi").isEmpty()
+    everything, _ = sampling.split_exact(rows, None)
+    assert everything.count() + test.count() == 2000
 
 
 def test_bags_differ(rows):
