@@ -95,9 +95,19 @@ class Inputs:
         rows = self.identified.select(*ROW_KEYS, "row_id") if rows is None else rows
         return spread.attach(rows, features, keys, self.hot_rows.of(keys))
 
+    @cached_property
+    def staged_batch(self) -> DataFrame:
+        return stage(self.batch, "batch")
+
+    @cached_property
+    def staged_rows(self) -> DataFrame:
+        """Identified rows of the staged batch: keys and ids, in one read of the sources."""
+        rows = spread.with_row_ids(self.staged_batch, ["fold", *matrix.RAW, "date"])
+        return stage(rows.select(*ROW_KEYS, "row_id"), "identified")
+
     @cached_property
     def hot_rows(self) -> spread.HotKeys:
-        return spread.HotKeys(stage(self.batch, "batch"))
+        return spread.HotKeys(self.staged_batch)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -456,9 +466,17 @@ def sliding_coupon_features(i: Inputs) -> DataFrame:
     return _sliding(i).coupons()
 
 
+@query
+def sliding_training_rows(i: Inputs) -> DataFrame:
+    """The training rows of all sliding folds with history features, from daily panes."""
+    sliding = _sliding(i)
+    rows = matrix.labelled_rows(sliding.events, sliding.folds).select("row_id", *ROW_KEYS, "label")
+    return sliding.training_rows(stage(rows, "sliding-rows")).drop("row_id")
+
+
 @query
 def three_sigma(i: Inputs) -> DataFrame:
-    pairs = i.pairs.select("fold", "user_id", "merchant_id", "held", "bought")
+    pairs = stage(i.pairs.select("fold", "user_id", "merchant_id", "held", "bought"), "pairs")
     return scaling.three_sigma(pairs, ["held", "bought"])
 
 
@@ -637,10 +655,11 @@ def feat_online_discount(i: Inputs) -> DataFrame:
 
 @query
 def feat_batch_user(i: Inputs) -> DataFrame:
-    pairs, coupons = in_batch.user_merchant(i.batch), in_batch.user_coupon(i.batch)
-    coupon_days = in_batch.user_coupon_day(i.batch).drop("o5", "o6")
-    days = in_batch.user_day(i.batch).select(*in_batch.USER_DAY, "o10")
-    out = i.attach(coupons, past.USER_COUPON)
+    batch = i.staged_batch
+    pairs, coupons = in_batch.user_merchant(batch), in_batch.user_coupon(batch)
+    coupon_days = in_batch.user_coupon_day(batch).drop("o5", "o6")
+    days = in_batch.user_day(batch).select(*in_batch.USER_DAY, "o10")
+    out = i.attach(coupons, past.USER_COUPON, i.staged_rows)
     out = i.attach(coupon_days, in_batch.USER_COUPON_DAY, out)
     out = i.attach(days, in_batch.USER_DAY, out)
     out = i.attach(pairs.drop("first", "last"), past.USER_MERCHANT, out)
@@ -649,8 +668,9 @@ def feat_batch_user(i: Inputs) -> DataFrame:
 
 @query
 def feat_batch_prev_next(i: Inputs) -> DataFrame:
-    out = i.attach(in_batch.user_coupon_day(i.batch).drop("o11"), in_batch.USER_COUPON_DAY)
-    return i.attach(in_batch.user_day(i.batch).drop("o10"), in_batch.USER_DAY, out).drop("row_id")
+    batch = i.staged_batch
+    out = i.attach(in_batch.user_coupon_day(batch).drop("o11"), in_batch.USER_COUPON_DAY, i.staged_rows)
+    return i.attach(in_batch.user_day(batch).drop("o10"), in_batch.USER_DAY, out).drop("row_id")
 
 
 @query
@@ -706,6 +726,14 @@ def eda_distance_rate(i: Inputs) -> DataFrame:
     return reports.distance_conversion(i.offline)
 
 
+@query
+def report_file(i: Inputs) -> DataFrame:
+    """The report on distances, written with its header and read back."""
+    report, path = reports.distance_conversion(i.offline), table_path(i.spark, "report")
+    sinks.write_report(report, path)
+    return i.spark.read.schema(report.schema).option("header", True).csv(path)
+
+
 @query
 def eda_segments(i: Inputs) -> DataFrame:
     return reports.segment_totals(i.offline)
@@ -821,7 +849,7 @@ def metric_coupon_auc(i: Inputs) -> DataFrame:
 
 @query
 def score_minmax(i: Inputs) -> DataFrame:
-    return blending.stretch(i.scored.select(*ROW_KEYS, "score"))
+    return blending.stretch(stage(i.scored.select(*ROW_KEYS, "score"), "scored"))
 
 
 @query
@@ -853,13 +881,14 @@ def label_encode(i: Inputs) -> DataFrame:
 def minmax_scale(i: Inputs) -> DataFrame:
     rows = i.batch.select(*ROW_KEYS, "distance", "discount_rate", "discount_rate_x", "discount_rate_y")
     columns = ["distance", "discount_rate", "discount_rate_x", "discount_rate_y"]
+    rows = stage(rows, "batch")
     return scaling.scale(rows, scaling.bounds_of(rows, columns))
 
 
 @query
 def variance_filter(i: Inputs) -> DataFrame:
     kept = scaling.variance_filter(i.matrix, matrix.model_inputs(i.matrix))
-    return kept.select("column_name", F.round("variance", 2).alias("variance"))
+    return kept.select("column_name", F.round("variance", 4).alias("variance"))
 
 
 # --- models --------------------------------------------------------------------------------
@@ -885,6 +914,16 @@ _train_query("train_rf", "rf_gini", "rf_entropy")
 _train_query("train_et", "et_gini", "et_entropy")
 
 
+#: The setting of the one recorded run of the boosted model.
+RECORDED = {"stepSize": 0.1, "maxIter": 101, "maxDepth": 8}
+
+
+@query
+def train_gbt_recorded(i: Inputs) -> DataFrame:
+    """A boosted model of full size."""
+    return training.train_and_evaluate(i.matrix, "gbt", **RECORDED)[1]
+
+
 @query
 def train_logistic(i: Inputs) -> DataFrame:
     """Baseline: discount and weekday columns, all receipts before the cut, tested on the next window."""

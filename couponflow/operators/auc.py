@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from couponflow.session import stage
 
 SCORES_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 2_000
 
 
 def auc_by_group(
@@ -83,7 +82,7 @@ def accuracy(scored: DataFrame, prediction: str = "prediction", label: str = "la
 
 
 def _bucketed(counts: DataFrame, scores_per_bucket: int) -> DataFrame:
-    buckets = min(ceil(counts.count() / scores_per_bucket), MAX_BUCKETS)
+    buckets = ceil(counts.count() / scores_per_bucket)
     edges: list[float] = []
     if buckets > 1:
         shares = [n / buckets for n in range(1, buckets)]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponflow.operators.folds import Fold, no_coupon, within
-from couponflow.operators.spread import ROWS_PER_TASK, UserLayout
+from couponflow.operators.spread import ROWS_PER_TASK, HotKeys, UserLayout, attach
 from couponflow.plans import history as past
 from couponflow.session import CO_LOCATED, settings, stage, stage_by_key
 
@@ -118,3 +118,16 @@ class SlidingHistory:
 
     def user_merchants(self) -> DataFrame:
         return past.user_merchant_features(self.pairs)
+
+    def training_rows(self, rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+        """``rows`` (written label rows of the same folds, with ``row_id``) with the features of their user, merchant, coupon and pair."""
+        hot = HotKeys(rows, rows_per_task)
+        tables = [
+            (self.user_merchants(), past.USER_MERCHANT),
+            (self.users(), past.USER),
+            (stage(self.merchants(), "sliding-merchants"), past.MERCHANT),
+            (stage(self.coupons(), "sliding-coupons"), past.COUPON),
+        ]
+        for features, keys in tables:
+            rows = attach(rows, features, keys, hot.of(keys))
+        return past.fill_after_join(rows)

@@ -187,6 +187,15 @@ BATCH = "\nbatch AS (" + "\n  UNION ALL ".join(
     f"SELECT {fold} AS fold, *, {LABEL} FROM clean WHERE {label}" for fold, label, _, _ in FOLDS
 ) + ")"
 
+def sliding_batch() -> str:
+    """Label rows of the nine half years."""
+    return "\nbatch AS (" + "\n  UNION ALL ".join(
+        f"SELECT {n + 1} AS fold, *, {LABEL} FROM clean WHERE date_received BETWEEN "
+        f"DATE '1997-01-01' + {182 * n} AND DATE '1997-01-01' + {182 * n + 181}"
+        for n in range(9)
+    ) + ")"
+
+
 SCORING_BATCH = f"""
 batch AS (SELECT 0 AS fold, * EXCLUDE ("date") FROM clean WHERE {PREDICT_LABEL})"""
 

@@ -19,6 +19,7 @@ from oracles.base import (
     query,
     ratio,
     scoring_history,
+    sliding_batch,
     some,
     some_if,
 )
@@ -328,6 +329,13 @@ SQL = {
         [OFFLINE, CLEAN, history(folds=SLIDING), COUPON],
         f"SELECT {columns('fold coupon_id c1 c2 c3:d c4 c12:d')} FROM coupon_f",
     ),
+    "sliding_training_rows": query(
+        [OFFLINE, CLEAN, sliding_batch(), history(folds=SLIDING), USER, MERCHANT, COUPON, USER_MERCHANT],
+        f"""SELECT {columns(ROW_KEYS + ' label', 'b.')}, coalesce(u1, 0)::BIGINT AS u1, {columns(USER_SPEC.removeprefix('u1:l'))},
+                   {columns(MERCHANT_SPEC + ' c1 c2 c3:d c4 c12:d um1 um2 um3 um4:d um6 um7')}
+            FROM batch b LEFT JOIN user_f USING (fold, user_id) LEFT JOIN merchant_f USING (fold, merchant_id)
+            LEFT JOIN coupon_f USING (fold, coupon_id) LEFT JOIN user_merchant_f USING (fold, user_id, merchant_id)""",
+    ),
     "feat_merchant_counts": merchant_table("m0 m1 m2:l m3 m4:d m7"),
     "feat_merchant_rate": merchant_table("m8:d m9:d m10:d"),
     "feat_merchant_variety": merchant_table("m11 m12 m13:d m14:d m15 m18 m19:d"),

@@ -105,7 +105,9 @@ SQL = {
     ),
     "variance_filter": query(
         [*TRAIN_CTES, FILLED],
-        f"""SELECT p.name AS column_name, round(p.v, 2) AS variance FROM ({_variances()})
+        f"""SELECT p.name AS column_name, round(p.v, 4) AS variance FROM ({_variances()})
             WHERE p.v > 0.16""",
     ),
 }
+
+SQL["report_file"] = SQL["eda_distance_rate"]
