@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponflow.llm import words as text_words
+from couponflow.llm.tables import slices
 
 FIT_ROWS = 20_000
 MIN_WORDS = 50
@@ -244,7 +245,7 @@ def _arrays(run: _Growing, roots: list[int], start: float, depth: int) -> Trees:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics(t)[1] for t in batch.column("text").to_pylist()]
         kind = pa.list_(pa.float64())
         yield pa.record_batch(
@@ -291,7 +292,7 @@ def score(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, failed, p, kept = verdicts(batch.column("text").to_pylist(), trees)
             columns = [batch.column("doc_id"), *map(pa.array, counts.T), *map(pa.array, (failed, p, kept))]
             yield pa.record_batch(columns, names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
@@ -305,7 +306,7 @@ def keep(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """Documents that pass, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             *_, kept = verdicts(batch.column("text").to_pylist(), trees)
             yield batch.filter(pa.array(kept, pa.bool_()))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,23 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Without the hint Spark joins by a shuffle, which holds for any size.
     """
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+#: Bytes of a slice of a batch that a Python task turns into objects at a time.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes (one row at least), without a copy.
+
+    Spark bounds a batch at 64 MB, of which a task would hold several copies. At the end the freed memory is given
+    back, so that a worker that is used again does not keep what an earlier stage needed.
+    """
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * min(1.0, size / max(batch.nbytes, 1))))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from couponflow.llm import rans
-from couponflow.llm.tables import small_side
+from couponflow.llm.tables import slices, small_side
 from couponflow.session import table_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,7 +47,7 @@ BLOCK = 1 << 19
 IDS_PER_SHARD = 1 << 24
 MAX_SHARDS = 100_000
 #: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 #: Letters that are one piece each way: A-Z, a-z and the Latin-1 letters; then marks, no apostrophe.
 _PLAIN = re.compile(
@@ -129,7 +129,7 @@ def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         end = np.array([end_id], dtype=words.kind).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids = pa.array([words.of(t or b"") + end for t in texts], pa.binary())
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -142,7 +142,7 @@ def count_ids(rows: DataFrame, kind: np.dtype, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             joined = b"".join(batch.column("ids").to_pylist())
             total += np.bincount(np.frombuffer(joined, kind), minlength=vocabulary)
         used = np.flatnonzero(total)
@@ -178,7 +178,7 @@ def _blocks(rows: DataFrame, table: rans.Frequencies, kind: np.dtype) -> DataFra
         shard = TaskContext.get().partitionId()
         number = first = size = 0
         ids, names, lengths = [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids.append(own)
                 names.append(doc_id)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from couponflow.llm import html_text, lm_scoring, mixing, pii, queries, rans, secret_scan, token_output
-from couponflow.session import table_path
+from couponflow.llm.tables import slices
+from couponflow.session import stage, table_path
 
 
 def pairs(df, *columns):
@@ -246,3 +247,27 @@ def test_pipeline(spark, tables, awkward):
     result = corpus_pipeline.run(spark, tables).collect()
     assert {r.doc_id for r in result} <= {r.doc_id for r in kept.select("doc_id").collect()}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("table", ["awkward", "no_docs"])
+def test_pipeline_stages_on_awkward_and_empty_tables(request, spark, tables, table):
+    """Every stage takes what the one before kept; awkward rows have extra columns with the operators' names."""
+    docs = request.getfixturevalue(table)
+    columns = docs.columns
+    for n, (_, apply) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(apply(spark, docs, tables), "stage")
+        if n < 4:
+            assert docs.columns == columns
+    assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert (docs.count() == 0) == (table == "no_docs")
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(100)), pa.array(["x" * 1000] * 100)], names=["n", "text"])
+    empty = batch.slice(0, 0)
+    parts = list(slices(iter([batch, empty, batch]), 10_000))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == [*range(100), *range(100)]
+    assert 10 <= len(parts) <= 40
+    assert [p.num_rows for p in slices(iter([batch.slice(0, 2)]), 1)] == [1, 1]
