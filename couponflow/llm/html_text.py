@@ -2,9 +2,10 @@
 
 A page is cut at block tags into flat runs of text. Each block has its word count and link density, those
 of the blocks before and after it, and whether its containers are named like the frame of a page (menus,
-sidebars, forms, ...) or like its content. A compound name of a layout or a state (``has-header``) says nothing, an
+sidebars, forms, ...) or like its content. A compound name of a layout or a state (``has-header``) says nothing, nor
+does one of a topic beside a name of the content (``post tags-none``); the header of an article is part of it. An
 article or content container takes back what the names of wrappers around it say, and a form with parts of a page in
-it is a wrapper, too. A small decision tree over these, trained on the labelled
+it is a wrapper, too. What is hidden is not content. A small decision tree over these, trained on the labelled
 table below, tells content from the rest.
 
 Cases: a null or empty page has an empty text; broken markup (unclosed tags, comments or quotes) is read to
@@ -53,9 +54,15 @@ FRAME_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 ARTICLE_HEADER = frozenset("header".split())
+#: Words that name a part of the frame unless they are inside an article, where they name a section of it.
+OUTSIDE_WORDS = frozenset("discussion discussions feedback guestbook reactions respond response responses".split())
+#: Words of the frame that hold even beside a name of the content.
+PLACE_WORDS = frozenset(
+    "banner breadcrumb breadcrumbs comment comments disqus footer menu nav navbar navigation reply replies sidebar".split()
+)
 #: Words that make a name one of a layout, a state or a topic, not of a part of the page.
 STATE_WORDS = frozenset(
-    "has no not with without is category tag topic fixed sticky enabled disabled active open closed".split()
+    "has no not none with without is category tag topic fixed sticky enabled disabled active open closed".split()
 )
 WRAP_WORDS = frozenset("wrap wrapper container layout".split())
 #: Elements that a form around a whole page has and one to fill in has not.
@@ -69,6 +76,9 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_HIDDEN = re.compile(
+    r"""(?:^|\s)(?:hidden(?=[\s=/]|\Z)(?!\s*=\s*["']?until-found)|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE
+)
 _NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
@@ -165,6 +175,53 @@ LABELLED = """
 70 0.0 2 1.0 3 1.0 1 0 0
 12 0.0 45 0.0 3 1.0 1 1 0
 40 0.0 55 0.0 2 1.0 1 1 0
+6 0.0 0 0.0 8 0.0 0 0 1
+8 0.0 6 0.0 7 0.0 0 0 1
+7 0.0 8 0.0 0 0.0 0 0 1
+10 0.0 7 0.0 12 0.0 0 0 1
+12 0.0 9 0.0 9 0.0 0 0 1
+9 0.0 14 0.0 6 0.0 0 0 1
+9 0.0 9 0.0 2 0.0 0 0 1
+9 0.0 2 1.0 8 0.0 0 0 1
+8 0.0 0 0.0 9 0.0 0 0 1
+11 0.0 0 0.0 7 0.0 0 0 1
+4 1.0 0 0.0 3 1.0 0 0 0
+3 1.0 0 0.0 5 1.0 0 0 0
+2 1.0 0 0.0 60 0.0 0 0 0
+3 1.0 4 1.0 70 0.0 0 0 0
+22 0.0 0 0.0 5 0.0 0 1 1
+40 0.0 0 0.0 0 0.0 0 1 1
+18 0.0 0 0.0 30 0.0 0 1 1
+9 0.0 0 0.0 40 0.0 0 1 1
+5 0.0 0 0.0 2 1.0 0 1 1
+60 0.0 0 0.0 50 0.0 0 0 1
+30 0.0 0 0.0 0 0.0 0 0 1
+20 0.0 0 0.0 30 0.0 0 0 1
+16 0.0 0 0.0 5 0.0 0 0 1
+35 0.0 0 0.0 3 1.0 0 0 1
+24 0.0 4 1.0 0 0.0 0 0 1
+7 0.0 0 0.0 3 1.0 0 1 1
+8 0.0 30 0.0 2 1.0 0 1 1
+9 0.0 12 0.0 1 1.0 0 1 1
+6 1.0 0 0.0 70 0.0 0 0 0
+5 1.0 3 1.0 60 0.0 0 0 0
+6 1.0 5 1.0 12 0.0 0 0 0
+1 0.0 0 0.0 0 0.0 0 0 0
+8 0.0 0 0.0 20 1.0 0 1 1
+9 0.0 9 0.0 6 1.0 0 1 1
+7 1.0 30 0.0 9 1.0 0 1 1
+8 0.0 50 0.0 4 1.0 0 1 1
+7 0.0 3 1.0 8 1.0 0 1 1
+8 0.9 40 0.0 10 0.0 0 0 0
+10 1.0 60 0.0 0 0.0 0 0 0
+14 1.0 90 0.0 3 1.0 0 0 0
+25 0.9 70 0.0 20 1.0 0 0 0
+12 1.0 45 0.0 60 0.0 0 0 0
+15 0.8 60 0.0 4 0.0 0 1 1
+25 1.0 3 0.0 40 0.0 0 1 1
+8 0.0 2 0.0 1 0.0 0 1 1
+7 0.0 0 0.0 0 0.0 0 1 1
+8 0.0 0 0.0 3 0.0 0 1 1
 """
 
 
@@ -237,18 +294,31 @@ class Block:
     content: bool
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is named like the frame or like the content of a page, and is a container of the content."""
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is named like the frame or like the content of a page, and is a container of the content.
+
+    ``inside``: whether it stands in an article or content container.
+    """
+    names = [
+        (attribute.lower(), {p.lower() for p in _PART.findall(name)})
+        for attribute, *values in (_NAME.findall(attributes) if attributes else ())
+        for name in next(filter(None, values), "").split()
+    ]
+    beside = any(parts and parts <= CONTENT_WORDS for _, parts in names)
     named = content = holds = False
-    for match in _NAME.finditer(attributes) if attributes else ():
-        attribute, *values = match.groups()
-        for name in next(filter(None, values), "").split():
-            parts = {p.lower() for p in _PART.findall(name)}
-            layout = parts & STATE_WORDS or parts & CONTENT_WORDS and parts & WRAP_WORDS
-            named = named or bool(parts & FRAME_WORDS) and not layout
-            content = content or bool(parts & CONTENT_WORDS) and not layout
-            whole = bool(parts) and parts <= CONTENT_WORDS
-            holds = holds or whole and (attribute.lower() in ("id", "role") or len(parts) > 1)
+    for attribute, parts in names:
+        frame = parts & FRAME_WORDS
+        of_article = parts & CONTENT_WORDS
+        if of_article or inside and tag in ARTICLE_HEADER:
+            frame -= ARTICLE_HEADER
+        if not inside:
+            frame |= parts & OUTSIDE_WORDS
+        layout = parts & STATE_WORDS or of_article and parts & WRAP_WORDS
+        topic = beside and len(parts) > 1 and not parts & PLACE_WORDS
+        named = named or bool(frame) and not layout and not topic
+        content = content or bool(of_article) and not layout
+        whole = bool(parts) and parts <= CONTENT_WORDS
+        holds = holds or whole and (attribute in ("id", "role") or len(parts) > 1)
     if tag in CONTENT_TAGS:
         return False, True, not named
     frame = named and tag not in ("html", "body")
@@ -262,6 +332,7 @@ def blocks(page: str) -> list[Block]:
     # Of each open element: the tag, and what it adds to the counts below. An element that holds the content takes
     # away what names of wrappers around it have added to ``named``.
     open_tags: list[tuple[str, int, int, int]] = []
+    places: dict[str, list[int]] = {}  # of each tag, where it is open
     frames = named = contents = links = 0
     # Of each open form: its place among the open elements, its first block, and whether it has parts of a page.
     forms: list[list[int]] = []
@@ -282,7 +353,8 @@ def blocks(page: str) -> list[Block]:
 
     def close(place: int) -> None:
         nonlocal frames, named, contents
-        for _, frame, name, content in open_tags[place:]:
+        for tag, frame, name, content in reversed(open_tags[place:]):
+            places[tag].pop()
             frames -= frame
             named -= name
             contents -= content
@@ -294,6 +366,15 @@ def blocks(page: str) -> list[Block]:
             for block in found[first:] if not page_parts else ():
                 block.frame = True
 
+    def opened(tag: str, frame: int, name: int, content: int) -> None:
+        places.setdefault(tag, []).append(len(open_tags))
+        open_tags.append((tag, frame, name, content))
+
+    def last_closing(tag: str) -> int:
+        if tag not in last_close:
+            last_close[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.IGNORECASE)), default=-1)
+        return last_close[tag]
+
     at = 0
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -316,14 +397,15 @@ def blocks(page: str) -> list[Block]:
                 links, loose = 0, False
             if tag not in INLINE:
                 close_block()
-            places = [i for i, o in enumerate(open_tags) if o[0] == tag]
-            if places:
-                close(places[-1])
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW or tag == "head":
             if tag not in INLINE:
                 close_block()
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            end = None
+            if last_closing(tag) >= at:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
             if end:
                 at = end.end()
             elif tag != "head":  # an open head has nothing but its own elements to skip
@@ -338,11 +420,9 @@ def blocks(page: str) -> list[Block]:
                 close_block()
             if tag == "svg" and attributes.rstrip().endswith("/"):
                 continue
-            if tag not in last_close:
-                closing_tags = re.finditer(rf"</{tag}\b", page, re.IGNORECASE)
-                last_close[tag] = max((m.start() for m in closing_tags), default=-1)
+            last_closing(tag)
             skipped.append(len(open_tags))
-            open_tags.append((tag, 0, 0, 0))
+            opened(tag, 0, 0, 0)
             continue
         if tag == "a":
             after = _NEXT_LINK.search(page, at)
@@ -354,17 +434,20 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "p" and open_tags and open_tags[-1][0] == "p":
             close(len(open_tags) - 1)  # paragraphs do not nest
-        name, content, holds = _kind(tag, attributes)
+        name, content, holds = _kind(tag, attributes, contents > 0)
         if tag in ARTICLE_HEADER and not contents:
             name, content, holds = True, False, False
         if holds or tag in PAGE_PARTS:
-            for form in forms:
+            for form in reversed(forms):
+                if form[2]:
+                    break  # and so have all around it
                 form[2] = True
         if tag == "form":
             forms.append([len(open_tags), len(found), False])
         added = -named if holds else int(name)
-        open_tags.append((tag, int(tag in FRAME_TAGS), added, int(content)))
-        frames += tag in FRAME_TAGS
+        frame = int(tag in FRAME_TAGS or _HIDDEN.search(attributes) is not None)
+        opened(tag, frame, added, int(content))
+        frames += frame
         named += added
         contents += content
     close_block()
