@@ -1,6 +1,11 @@
 """Quality rules, decontamination, SimHash and language identification against plain versions."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_counts, components, contamination, fingerprint
 from pyspark.sql import functions as F
@@ -174,3 +179,58 @@ def test_language_awkward_rows(awkward, no_docs, monkeypatch):
     whole = language.slots(text)
     monkeypatch.setattr(language, "BLOCK", 17)
     assert (language.slots(text) == whole).all()
+
+
+def _plain_slots(text):
+    """Slots of a text's n-grams, one at a time."""
+    mask = 0xFFFFFFFF
+    low = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+    for i in range(len(low)):
+        h = 0
+        for order in language.ORDERS:
+            if i + order > len(low):
+                break
+            h = (h + low[i + order - 1] * language.MULTIPLIERS[order - 1]) & mask
+            if low[i] == 32 and low[i + order - 1] == 32:
+                continue
+            g = ((h ^ (h >> 15)) * 0x2C1B3C6D) & mask
+            yield (g ^ (g >> 16)) & (language.BUCKETS - 1)
+
+
+def test_op10_against_plain_counts(spark, tables, monkeypatch):
+    """All predictions and scores equal those of plain naive Bayes, whatever texts share a batch."""
+    rows = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None]
+    counts = {lang: Counter() for lang in sorted({r.lang for r in learned})}
+    for r in learned:
+        counts[r.lang].update(_plain_slots(r.text or ""))
+    size = {lang: c.total() + language.SMOOTHING * language.BUCKETS for lang, c in counts.items()}
+    prior = {lang: sum(r.lang == lang for r in learned) / len(learned) for lang in counts}
+
+    def scaled(share):
+        return round(math.log(share) * language.SCALE)
+
+    def plain(text):
+        hits = Counter(_plain_slots(text or ""))
+        if not hits:
+            return "und", 0.0
+        total = {
+            lang: scaled(prior[lang])
+            + sum(n * scaled((counts[lang][s] + language.SMOOTHING) / size[lang]) for s, n in hits.items())
+            for lang in counts
+        }
+        best = max(total, key=total.get)
+        return best, 1 / sum(math.exp((t - total[best]) / language.SCALE) for t in total.values())
+
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, tables).collect()}
+    for r in rows:
+        lang, score = plain(r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-6
+    model = language.train(spark.createDataFrame(learned))
+    texts = [r.text for r in rows[:300]] + ["", None, "12 ?", "a", "é\n" * 50]
+    alone = [model.predict(t) for t in texts]
+    for block in (1 << 19, 23):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert model.predict_all(texts) == alone
+    monkeypatch.setattr(language, "TABLES", 1)
+    assert sum(b.num_rows for b in language._counted(iter([pa.record_batch({"text": ["a", "b", "a"], "lang": ["x", "y", "z"]})]))) > 6
