@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 from brute import base_spans, losses, water_level, words
 from pyspark.sql import functions as F
 
@@ -81,6 +82,62 @@ def test_surrogates(spark, no_docs, awkward):
     assert pii.report(no_docs).count() == 0
 
 
+NAMES = [
+    ("Dr Maria Elena Garcia spoke. Later Garcia left; GARCIA's car.", ["Maria", "Elena", "Garcia", "GARCIA"], 3),
+    ("Mary Ann Smith and Dr John O'Brien, Mary Smith-Jones.", ["Mary", "Ann", "Smith", "O'B", "Brien", "Jones"], 3),
+    ("Mr\nSmith, Anna  Smith, Olivia Brown, Señor Pérez. Prof. Dr. John F. van der Berg. The end", ["Smith", "Brown", "Pérez", "F.", "Berg"], 5),
+    ("Mr Smith\nThe day. Jean-Pierre Dupont met Dupont", ["Smith", "Jean", "Pierre", "Dupont"], 3),
+    ("+49 30 1234567 and +44 20 7946 0958 or +4915112345678", ["30 1234567", "20 7946 0958", "15112345678"], 3),
+    ("378282246310005, 3782 822463 10005 and 6011000990139424 5555555555554444", ["8282246310005", "822463", "11000990139424", "55555555"], 4),
+    ("DE89 3704 0044 0532 0130 00 is mine", ["3704", "0532"], 1),
+    ("fe80::1ff:fe23:4567:890a, 2001:0db8:85a3:0000:0000:8a2e:0370:7334, jörg@müller.de", ["fe80", "85a3", "jörg", "müller"], 3),
+]
+NO_ENTITIES = "std::abs 12:30:45 20240101123000 12 12345678901234 2024 01 01 12 30 00 The Mister was Here; version 1.2.3-4"
+
+
+def test_names_and_numbers_of_all_forms(spark):
+    rows = [(i, t) for i, (t, _, _) in enumerate(NAMES)] + [(99, NO_ENTITIES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, "k").collect()}
+    for i, (_, gone, n) in enumerate(NAMES):
+        assert got[i].n_entities == n
+        assert not [g for g in gone if g in got[i].text]
+    assert got[99].n_entities == 0 and got[99].text == NO_ENTITIES
+    # One person, one surrogate: in full, alone, and in capitals; marks, particles and codes stay.
+    full, alone = got[0].text.split(" spoke. Later ")
+    surname = full.split()[-1]
+    assert alone == f"{surname} left; {surname.upper()}'s car."
+    assert got[1].text.split(",")[0].split()[2] == got[1].text.split("-")[0].split()[-1] == got[2].text.split(",")[0].split("\n")[1]
+    assert " van der " in got[2].text and got[2].text.endswith("The end") and "\nThe day. " in got[3].text
+    assert got[4].text.startswith("+49 ") and " +44 " in got[4].text and " or +49" in got[4].text
+    assert got[6].text.startswith("DE") and len(got[6].text) == len(NAMES[6][0])
+    account = got[6].text[: -len(" is mine")].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def plain_found(text):
+    """The matches of a text, by the same grammar in plain Python."""
+    values = [m.group() for m in regex.finditer(pii.ANY, text)]
+    people = [v for v in values if regex.match(r"\p{Lu}[^0-9@]*$", v)]
+    words = {w for v in people for w in regex.findall(pii._WORD, v)} - set(pii.TITLES)
+    forms = words | {w.upper() for w in words} | {w[:1].upper() + w[1:].lower() for w in words}
+    alone = sorted(forms & set(regex.findall(pii._WORD, text)), reverse=True)
+    if alone:
+        values = [m.group() for m in regex.finditer(pii.ANY + r"|(?<!\p{L})(?:" + "|".join(alone) + r")(?!\p{L})", text)]
+    return values
+
+
+def test_detection_against_plain_python(spark, tables):
+    texts = [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").select("text").collect() if r.text]
+    draw = random.Random(7)
+    bits = [t for t, _, _ in NAMES] + [NO_ENTITIES, "Mrs Smith met ANNA SMITH and Иван Петров. Μαρία Παππά came.", "bo.2@mail.co 10.0.0.1 078-05-1120"]
+    words = [w for b in bits for w in b.split(" ")]
+    made = [draw.choice(" \n").join(draw.choices(words, k=draw.randint(1, 40))) for _ in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts + made], "text string")
+    for r in docs.select("text", pii._found(F.col("text")).alias("found")).collect():
+        assert r.found.values == plain_found(r.text)
+
+
 def test_surrogates_in_very_long_texts(spark):
     """Long runs of nearly matching text neither exhaust the matcher nor hide what follows."""
     runs = ["x@" + "a." * 30_000 + "2", "1234 " * 20_001, "1.2.3." * 20_000, "Mr " + "A" * 50_000 + "1", "a" * 50_000]
