@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 
-from couponflow.models.parallel import WIDTH, in_parallel
+from couponflow.models.parallel import WIDTH, in_parallel, width_for
 from couponflow.models.training import score
 from couponflow.operators.blending import CHECKPOINT_WEIGHTS, weighted_mean
 
@@ -44,7 +44,7 @@ class CheckpointEnsemble:
             return estimator.copy({estimator.getParam("maxIter"): steps}).fit(rows)
 
         jobs = [partial(run, e, n) for e in self.estimators for n in self.steps]
-        self.models = in_parallel(rows.sparkSession, jobs, self.width)
+        self.models = in_parallel(rows.sparkSession, jobs, width_for(rows.count(), self.width))
         for n in range(0, len(self.models), len(self.steps)):
             losses = [list(m.summary().objectiveHistory) for m in self.models[n : n + len(self.steps)]]
             for short, long in zip(losses, losses[1:]):
