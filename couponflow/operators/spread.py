@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 5_000_000
+#: Rows of a bucket. With the wide tables that are made of them, a bucket is sorted in the memory that a task has.
+ROWS_PER_BUCKET = 1_000_000
 SALT = "_salt"
 PIECES = "_pieces"
 
@@ -116,7 +118,8 @@ class UserLayout:
         most = int(rows.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
         found = hot_keys(rows, ["user_id"], limit).select("user_id")
         found = None if found.isEmpty() else found
-        return UserLayout(legal_buckets(max(shuffles, ceil(total / rows_per_task)), most), limit, found)
+        wanted = max(shuffles, ceil(total / min(limit, ROWS_PER_BUCKET)))
+        return UserLayout(legal_buckets(wanted, most), limit, found)
 
     def usual(self, rows: DataFrame) -> DataFrame:
         """Rows of users that are not hot."""
