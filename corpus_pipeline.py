@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from couponflow.llm import decontamination, mixing, near_texts, quality, token_output
+from couponflow.llm import decontamination, mixing, near_texts, quality, simhash, token_output
 from couponflow.llm.tables import read, ship
 from couponflow.session import stage, table_path
 
@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a five-word similarity of at least 0.8."""
+    """One document of each group of texts with near fingerprints or a five-word similarity of at least 0.8."""
     ship(spark)
-    return near_texts.deduplicate(docs)
+    return near_texts.deduplicate(docs, simhash.RADIUS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ A text's set is the XXH64 hashes of its ``SHINGLE``-word shingles (words and has
    hash, with their sets, and every two blocks of a key meet in one row. All intersections of a tile come from one
    product of a small matrix over the hashes that occur twice in it; pairs of one component are left out, as they are
    linked already. No pair becomes a row unless it is a link.
-5. Components of the links (see :mod:`couponflow.llm.components`).
+5. Components of the links (see :mod:`couponflow.llm.components`). With a ``radius``, texts whose fingerprints (see
+   :mod:`couponflow.llm.simhash`) differ in so many bits or fewer are linked as well, found by the tiles of that module: these
+   are texts that say the same most of the time, whatever the sets of their shingles.
 
 Cases: null, empty and wordless texts are one group; fewer than five words form one shingle; equal rows get
 equal rows; an empty table gives no rows. Tiles of a key grow with the square of its blocks, where its texts are not
@@ -31,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from couponflow.llm import simhash
 from couponflow.llm.components import components
 from couponflow.llm.simhash import SEED, one_of_each, shingle_hashes
 from couponflow.llm.tables import slices, small_side
@@ -232,12 +235,28 @@ def tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
         return stage(tiles.mapInArrow(run, "a long, b long"), "tile-links")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns, chosen as in :func:`simhash.deduplicate`."""
+def fingerprint_links(marked: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all nodes with fingerprints within ``radius``; ``rows``: ``_id, _row, node``."""
+    fps = stage(simhash.fingerprints(marked, "_id", "_row").drop("doc_id").dropDuplicates(["_id", "_row"]), "fingerprints")
+    placed = stage(rows.select("_id", "_row", "node").join(fps, ["_id", "_row"]).select("fp", "node").distinct(), "fingerprint-nodes")
+    first = stage(placed.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-firsts")
+    same = placed.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = stage(simhash.links(first.select("fp"), radius), "fingerprint-links")
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), end)
+    return same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def deduplicate(docs: DataFrame, radius: int | None = None) -> DataFrame:
+    """One document of each component, with all its columns, chosen as in :func:`simhash.deduplicate`.
+
+    With ``radius``, links of fingerprints count as well as those of shingle sets.
+    """
 
     def groups(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = stage(sets(marked, "doc_id", "_id", "_row"), "shingle-sets")
-        found = components(links(marked, rows))
+        ends = links(marked, rows)
+        found = components(ends if radius is None else ends.unionByName(fingerprint_links(marked, rows, radius)))
         nodes = rows.select("node").distinct().join(found, "node", "left")
         return rows.drop("keys"), nodes.select("node", F.coalesce("root", "node").alias("group"))
 

@@ -95,3 +95,15 @@ def test_near_texts_awkward_rows(awkward, no_docs):
         first.setdefault((d, t), (d, t))
     assert sorted(r.doc_id for r in kept.collect()) == kept_ids(sorted(first.values()))
     assert near_texts.deduplicate(no_docs).count() == 0
+
+
+def test_fingerprints_link_texts_that_shingle_sets_keep_apart(spark):
+    same = "again " * 200
+    texts = [f"{same} one two three four five six seven", f"{same} eight nine ten eleven twelve thirteen", "quite another text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = lambda found: sorted(r.doc_id for r in found.select("doc_id").collect())
+    assert kept(near_texts.deduplicate(docs)) == [0, 1, 2]
+    assert kept(corpus_pipeline.near_duplicates(spark, docs, "")) == [0, 2]
+    # Rows without an id or a text, and a row that comes twice.
+    odd = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[2]), (7, None)], "doc_id long, text string")
+    assert kept(corpus_pipeline.near_duplicates(spark, odd, "")) == [0, 2, 7]
