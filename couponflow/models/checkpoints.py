@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import partial
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 
-from couponflow.models.parallel import WIDTH, in_parallel, width_for
+from couponflow.models.machines import FactorizationMachine, fit_together
 from couponflow.models.training import score
 from couponflow.operators.blending import CHECKPOINT_WEIGHTS, weighted_mean
 
@@ -24,27 +23,19 @@ def is_prefix(short: Sequence[float], long: Sequence[float], tolerance: float =
 class CheckpointEnsemble:
     """Weighted mean of the scores of each estimator at each number of steps.
 
-    The library keeps no checkpoints, so an optimisation is run again up to each number of steps, from the same seed over the
-    same rows, and the losses of a shorter run must be the first losses of the longer one. Estimators have to go on to their
-    last step (``tol`` 0). Order of ``weights``: estimators, then steps.
+    All machines take their steps in the same passes over the rows, and keep their coefficients on the way. They go on to their
+    last step unless their ``tol`` ends them (0 never does). Order of ``weights``: estimators, then steps.
     """
 
-    estimators: Sequence[Estimator]
+    estimators: Sequence[FactorizationMachine]
     steps: Sequence[int]
     weights: Sequence[float] = CHECKPOINT_WEIGHTS
-    width: int = WIDTH
     models: list[Model] = field(default_factory=list)
 
     def fit(self, rows: DataFrame) -> CheckpointEnsemble:
-        """``rows`` should be a written table, so that every run meets them in the same order."""
         if list(self.steps) != sorted(set(self.steps)):
             raise ValueError("the numbers of steps must grow")
-
-        def run(estimator: Estimator, steps: int) -> Model:
-            return estimator.copy({estimator.getParam("maxIter"): steps}).fit(rows)
-
-        jobs = [partial(run, e, n) for e in self.estimators for n in self.steps]
-        self.models = in_parallel(rows.sparkSession, jobs, width_for(rows.count(), self.width))
+        self.models = fit_together(self.estimators, self.steps, rows)
         for n in range(0, len(self.models), len(self.steps)):
             losses = [list(m.summary().objectiveHistory) for m in self.models[n : n + len(self.steps)]]
             for short, long in zip(losses, losses[1:]):
